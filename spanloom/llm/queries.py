@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from spanloom.llm import lookalike, packing, private, tokenize
+from spanloom.llm import lookalike, overlap, packing, private, shared, tokenize
 from spanloom.session import table
 
 
@@ -14,6 +14,24 @@ def p1_forms(spark, d):
     return lookalike.normalise(table(spark, d, "raw_texts", "raw_id", "raw"), "raw", lookalike.vocabulary(table(spark, d, "nodes")))
 
 
+def p3_found(spark, d):
+    return shared.shared_spans(table(spark, d, "documents", "doc_id", "text"))
+
+
+def p3_amount(spark, d):
+    docs = table(spark, d, "documents", "doc_id", "text")
+    return shared.shared_amount(docs, shared.shared_spans(docs))
+
+
+def p5_found(spark, d):
+    return overlap.cross_split_pairs(table(spark, d, "documents", "doc_id", "text", "split"))
+
+
+def p5_report(spark, d):
+    docs = table(spark, d, "documents", "doc_id", "text", "split", "source")
+    return overlap.overlap_report(docs, overlap.cross_split_pairs(docs))
+
+
 def p6_ids(spark, d):
     return tokenize.encode(table(spark, d, "documents", "doc_id", "text"))
 
@@ -30,5 +48,5 @@ def p8_redacted(spark, d):
     return private.redact_private(table(spark, d, "documents", "doc_id", "text"))
 
 
-QUERIES = {q.__name__: q for q in (p1_found, p1_forms, p6_ids, p7_packing, p8_found, p8_redacted)}
+QUERIES = {q.__name__: q for q in (p1_found, p1_forms, p3_found, p3_amount, p5_found, p5_report, p6_ids, p7_packing, p8_found, p8_redacted)}
 ORACLE: dict[str, str] = {}
