@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from spanloom.llm import lookalike, overlap, packing, private, shared, tokenize
+from spanloom.llm import consensus, linking, lookalike, overlap, packing, private, shared, tokenize
 from spanloom.session import table
 
 
@@ -14,6 +14,15 @@ def p1_forms(spark, d):
     return lookalike.normalise(table(spark, d, "raw_texts", "raw_id", "raw"), "raw", lookalike.vocabulary(table(spark, d, "nodes")))
 
 
+def p2_found(spark, d):
+    return linking.link(table(spark, d, "spans"), table(spark, d, "nodes"))
+
+
+def p2_unmatched(spark, d):
+    spans = table(spark, d, "spans")
+    return linking.unmatched(linking.link(spans, table(spark, d, "nodes")), spans)
+
+
 def p3_found(spark, d):
     return shared.shared_spans(table(spark, d, "documents", "doc_id", "text"))
 
@@ -23,6 +32,18 @@ def p3_amount(spark, d):
     return shared.shared_amount(docs, shared.shared_spans(docs))
 
 
+def p4_found(spark, d):
+    return consensus.consensus(table(spark, d, "proposals"), table(spark, d, "evidence"))[0].select("item_id", "label")
+
+
+def p4_agreement(spark, d):
+    return consensus.consensus(table(spark, d, "proposals"), table(spark, d, "evidence"))[0]
+
+
+def p4_reliability(spark, d):
+    return consensus.consensus(table(spark, d, "proposals"), table(spark, d, "evidence"))[1]
+
+
 def p5_found(spark, d):
     return overlap.cross_split_pairs(table(spark, d, "documents", "doc_id", "text", "split"))
 
@@ -48,5 +69,8 @@ def p8_redacted(spark, d):
     return private.redact_private(table(spark, d, "documents", "doc_id", "text"))
 
 
-QUERIES = {q.__name__: q for q in (p1_found, p1_forms, p3_found, p3_amount, p5_found, p5_report, p6_ids, p7_packing, p8_found, p8_redacted)}
+QUERIES = {q.__name__: q for q in (
+    p1_found, p1_forms, p2_found, p2_unmatched, p3_found, p3_amount, p4_found, p4_agreement, p4_reliability,
+    p5_found, p5_report, p6_ids, p7_packing, p8_found, p8_redacted,
+)}
 ORACLE: dict[str, str] = {}
