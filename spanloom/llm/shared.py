@@ -20,9 +20,9 @@ the rows hold the same text.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import groupby
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -111,8 +111,11 @@ def _minimisers(docs: DataFrame, k: int, m: int) -> DataFrame:
             texts, ids = batch.column("text").to_pylist(), batch.column("doc_id").to_numpy(zero_copy_only=False)
             for a, b in _slices(texts):
                 doc, h, _, _ = super_windows(texts[a:b], k, m)
-                rows = np.unique(np.stack([h, ids[a:b][doc]]), axis=1) if len(h) else np.zeros((2, 0), np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(rows[0]), pa.array(rows[1])], names=["h", "doc_id"])
+                order = np.lexsort((h, doc))
+                doc, h = doc[order], h[order]
+                new = np.ones(len(h), bool)
+                new[1:] = (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])
+                yield pa.RecordBatch.from_arrays([pa.array(h[new]), pa.array(ids[a:b][doc[new]])], names=["h", "doc_id"])
 
     return docs.mapInArrow(run, "h bigint, doc_id bigint")
 
@@ -137,36 +140,51 @@ def _packed(docs: DataFrame, k: int, m: int) -> DataFrame:
     return docs.mapInArrow(run, "h bigint, doc_id bigint, at int, packed string")
 
 
-def _count_bucket(k: int):
-    """Of the different strings of one bucket: which windows more than one record has, as runs."""
-
-    def count(pdf: pd.DataFrame) -> pd.DataFrame:
-        packed, low, high = pdf["packed"].tolist(), pdf["low"].tolist(), pdf["high"].tolist()
-        windows = sorted((p[i : i + k], s, i) for s, p in enumerate(packed) for i in range(len(p) - k + 1))
-        shared: dict[int, list[int]] = {}
-        at = 0
-        while at < len(windows):
-            end = at
-            while end < len(windows) and windows[end][0] == windows[at][0]:
-                end += 1
-            own = {s for _, s, _ in windows[at:end]}
-            if min(low[s] for s in own) != max(high[s] for s in own):
-                for _, s, i in windows[at:end]:
-                    shared.setdefault(s, []).append(i)
-            at = end
-        rows = []
-        for s, found in shared.items():
-            found.sort()
-            a = b = found[0]
-            for i in found[1:]:
-                if i > b + 1:
-                    rows.append((pdf["h"].iat[0], pdf["string"].iat[s], a, b))
-                    a = i
-                b = i
-            rows.append((pdf["h"].iat[0], pdf["string"].iat[s], a, b))
-        return pd.DataFrame(rows, columns=["h", "string", "first", "last"])
-
-    return count
+def _shared_windows(strings: list[tuple[int, int, int, str]], k: int) -> Iterator[tuple[int, int, int]]:
+    """Of the different strings (number, least and greatest record, text) of one bucket: windows of two records, as runs."""
+    windows = sorted([(p[i : i + k], s, i) for s, (_, _, _, p) in enumerate(strings) for i in range(len(p) - k + 1)])
+    shared: dict[int, list[int]] = {}
+    at, n = 0, len(windows)
+    while at < n:
+        end, w = at + 1, windows[at][0]
+        while end < n and windows[end][0] == w:
+            end += 1
+        own = [strings[s] for _, s, _ in windows[at:end]]
+        if min(o[1] for o in own) != max(o[2] for o in own):
+            for _, s, i in windows[at:end]:
+                shared.setdefault(s, []).append(i)
+        at = end
+    for s, found in shared.items():
+        found.sort()
+        a = b = found[0]
+        for i in found[1:]:
+            if i > b + 1:
+                yield strings[s][0], a, b
+                a = i
+            b = i
+        yield strings[s][0], a, b
+
+
+def _count_buckets(strings: DataFrame, k: int) -> DataFrame:
+    """Buckets one after the other, as the sorted rows of a partition come."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def rows() -> Iterator[tuple]:
+            for batch in batches:
+                yield from zip(*(batch.column(c).to_pylist() for c in ("h", "string", "low", "high", "packed")))
+
+        out: list[tuple[int, int, int, int]] = []
+        kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32())
+        names = ["h", "string", "first", "last"]
+        for h, bucket in groupby(rows(), key=lambda r: r[0]):
+            out += [(h, *x) for x in _shared_windows([r[1:] for r in bucket], k)]
+            if len(out) > 50_000:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), kinds)], names=names)
+                out = []
+        cols = list(zip(*out)) or [(), (), (), ()]
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], names=names)
+
+    return strings.repartition("h").sortWithinPartitions("h").mapInArrow(run, "h bigint, string bigint, first int, last int")
 
 
 def shared_spans(docs: DataFrame, k: int = K, m: int = M) -> DataFrame:
@@ -184,7 +202,8 @@ def shared_spans(docs: DataFrame, k: int = K, m: int = M) -> DataFrame:
     # alone in its bucket: all of its windows are shared if two records hold it
     windows = F.length("packed") - k
     alone = strings.where("strings = 1").select("h", "string", F.lit(0).alias("first"), windows.alias("last"))
-    few = strings.where(f"strings > 1 and strings <= {BUCKET_STRINGS}").groupBy("h").applyInPandas(_count_bucket(k), "h bigint, string bigint, first int, last int")
+    few = strings.where(f"strings > 1 and strings <= {BUCKET_STRINGS}")
+    few = _count_buckets(few.select("h", "string", "low", "high", "packed"), k)
     many = (
         strings.where(f"strings > {BUCKET_STRINGS}")
         .select("h", "string", "low", "high", "packed", F.explode(F.sequence(F.lit(0), windows)).alias("i"))
