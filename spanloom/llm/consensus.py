@@ -105,7 +105,7 @@ class Model:
         s, t = len(sources), len(types)
         self.source = np.zeros((s + 1, t, t))
         self.source[:, range(t), range(t)] = 1.5  # at first a vote is right more often than not
-        self.prior = np.full(t, 1 / t)
+        self.prior = np.full(t, 1 / max(t, 1))
         self.members = list(range(s))
 
     def pass_over(self, items: DataFrame, errors: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -191,7 +191,8 @@ def consensus(proposals: DataFrame, evidence: DataFrame) -> tuple[DataFrame, Dat
     """``item_id, label, confidence, agreement`` of each item, and ``source, votes, reliability, copies`` of each source."""
     spark = proposals.sparkSession
     items, model = _prepare(votes(proposals, evidence))
-    model.fit(items)
+    if model.sources:
+        model.fit(items)
     source, prior, members, types = model.source, model.prior, model.members, model.types
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

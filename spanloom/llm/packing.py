@@ -1,8 +1,9 @@
 """Problem 7: notes into containers of fixed capacity, by their token counts.
 
 Shortest-pack-first over the length histogram: lengths are placed longest first,
-each into the packs that are fullest of free space, and only counts of packing
-patterns are kept. The histogram has at most ``capacity`` entries at any corpus
+each into the shortest packs that there are, and only counts of packing patterns are
+kept. (Longest-pack-first is tried beside it, on the same histogram, and taken where it
+needs fewer containers, as it may where many lengths are near the capacity.) The histogram has at most ``capacity`` entries at any corpus
 size. Documents get their container by their rank among those of the same length.
 
 Only a note longer than a container is split, into full pieces and a rest. Notes
@@ -25,15 +26,14 @@ CAPACITY = 2048
 RANK_ROWS = 100_000
 
 
-def pack_histogram(histogram: dict[int, int], capacity: int) -> list[tuple[tuple[int, ...], int]]:
-    """Packing patterns (lengths in a container) and how many containers follow each."""
+def _place(histogram: dict[int, int], capacity: int, pick) -> list[tuple[tuple[int, ...], int]]:
     packs: dict[int, list[tuple[tuple[int, ...], int]]] = {}
     for length in sorted(histogram, reverse=True):
         n = histogram[length]
         if not 0 < length <= capacity:
             raise ValueError(f"length {length} doesn't fit a container of {capacity}")
         while n:
-            free = max((f for f in packs if f >= length and packs[f]), default=None)
+            free = pick((f for f in packs if f >= length and packs[f]), default=None)
             if free is None:
                 each = capacity // length
                 full, rest = divmod(n, each)
@@ -54,6 +54,12 @@ def pack_histogram(histogram: dict[int, int], capacity: int) -> list[tuple[tuple
     return sorted(merged.items(), reverse=True)
 
 
+def pack_histogram(histogram: dict[int, int], capacity: int) -> list[tuple[tuple[int, ...], int]]:
+    """Packing patterns (lengths in a container) and how many containers follow each."""
+    ways = [_place(histogram, capacity, pick) for pick in (max, min)]  # most free space first: the shortest pack
+    return min(ways, key=lambda w: sum(count for _, count in w))
+
+
 def _pieces(docs: DataFrame, capacity: int, vocabulary: str, tokenizers: str) -> DataFrame:
     n = F.col("n_tokens")
     sizes = F.transform(F.sequence(F.lit(0), F.greatest(F.ceil(n / capacity) - 1, F.lit(0)).cast("int")), lambda i: F.least(n - i * capacity, F.lit(capacity)))
