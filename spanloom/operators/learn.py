@@ -24,6 +24,8 @@ def dawid_skene(votes: DataFrame, rounds: int = 8, smoothing: float = 1.0, weigh
     """
     v = cut(votes.dropna(subset=["item_id", "source", "type"]).select("item_id", "source", F.col("type").alias("vote")).distinct())
     names = sorted(r.vote for r in v.select("vote").distinct().collect())  # the types
+    if not names:
+        return v.select("item_id", F.col("vote").alias("label"), F.lit(1.0).alias("probability"))
     weight = F.coalesce(F.create_map(*(x for k, w in (weights or {"": 1.0}).items() for x in (F.lit(k), F.lit(float(w)))))[F.col("source")], F.lit(1.0))
     v = v.withColumn("w", weight)
     labels = F.array(*map(F.lit, names))

@@ -19,11 +19,11 @@ from spanloom.functions.text import hash_int
 
 def global_rank(df: DataFrame, value: str, tie: str) -> DataFrame:
     """``rank`` from 0 by (value, tie) and ``total``: counts of distinct values in order, plus the place within a value."""
-    n = df.groupBy(value).agg(F.count("*").alias("n"))
+    n = df.groupBy(value).agg(F.count("*").alias("_n"))
     w = Window.partitionBy().orderBy(value)  # over distinct values only, summed up first
-    n = n.withColumn("before", F.sum("n").over(w) - F.col("n")).withColumn("total", F.sum("n").over(Window.partitionBy())).drop("n")
+    n = n.withColumn("_before", F.sum("_n").over(w) - F.col("_n")).withColumn("total", F.sum("_n").over(Window.partitionBy())).drop("_n")
     within = F.row_number().over(Window.partitionBy(value).orderBy(tie)) - 1
-    return df.join(n, value).withColumn("rank", F.col("before") + within).drop("before")
+    return df.join(n, value).withColumn("rank", F.col("_before") + within).drop("_before")
 
 
 def equal_strata(docs: DataFrame, size: str, key: str, strata: int) -> DataFrame:
