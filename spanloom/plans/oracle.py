@@ -227,3 +227,43 @@ ORACLE = {
     "code_display": f"""WITH {S}, c AS (SELECT DISTINCT unnest(candidates) AS code FROM s), k AS (SELECT code, regexp_replace(upper(code), '[^A-Z0-9]', '', 'g') AS compact FROM c WHERE code IS NOT NULL)
       SELECT code, compact, CASE WHEN length(compact) > 3 THEN substr(compact, 1, 3) || '.' || substr(compact, 4) ELSE compact END AS display, CASE WHEN length(code) > 3 THEN substr(code, 1, 3) END AS parent FROM k""",
 }
+
+NAMES = f"""na AS (SELECT identifier AS code, unnest(list_concat([canonical], coalesce(aliases, {EMPTY}))) AS name FROM nodes), nk AS (SELECT code, trim(regexp_replace(lower(name), '[ \\t\\r\\n\\f]+', ' ', 'g')) AS key FROM na WHERE name IS NOT NULL)"""
+MENTION = "trim(regexp_replace(lower(text), '[ \\t\\r\\n\\f]+', ' ', 'g'))"
+HALF = """(least(x."end", y."end") - greatest(x.start, y.start)) / least(x."end" - x.start, y."end" - y.start)"""
+OF = """SELECT DISTINCT record_id, start, "end", type FROM s WHERE source = '{}' AND record_id IS NOT NULL AND start < "end" AND type IS NOT NULL"""
+NESTED = """x.type = y.type AND ((y.start <= x.start AND x."end" <= y."end") OR (x.start <= y.start AND y."end" <= x."end"))"""
+CODES = "SELECT DISTINCT record_id, start, \"end\", code FROM (SELECT record_id, start, \"end\", unnest(candidates) AS code FROM {}) WHERE record_id IS NOT NULL AND start IS NOT NULL AND \"end\" IS NOT NULL AND code IS NOT NULL"
+
+ORACLE |= {
+    "routed_merge": f"""WITH {BC}, {KEYS}, k AS (SELECT record_id, start, "end", type, max(candidates) AS candidates FROM b WHERE record_id IS NOT NULL AND start < "end" AND type IS NOT NULL GROUP BY ALL), a AS (SELECT * FROM ck WHERE type IN ('TRIỆU_CHỨNG', 'CHẨN_ĐOÁN'))
+      SELECT a.*, 'learned' AS source, coalesce(len(candidates), 0)::INT AS codes FROM a LEFT JOIN k USING (record_id, start, "end", type)
+      UNION ALL SELECT record_id, start, "end", type, 'legacy', coalesce(len(candidates), 0)::INT FROM k x WHERE type NOT IN ('TRIỆU_CHỨNG', 'CHẨN_ĐOÁN') AND NOT EXISTS (SELECT 1 FROM a y WHERE {MEETS})""",
+    "disjoint_union": f"WITH {BC}, {KEYS} SELECT *, 'base' AS source FROM bk UNION ALL SELECT *, 'added' FROM ck x WHERE NOT EXISTS (SELECT 1 FROM bk y WHERE {MEETS})",
+    "three_way_support": f"""WITH {S}, r AS ({OF.format("rule")}), t AS ({OF.format("llm_wide")}), k AS ({OF.format("tok_alpha")})
+      SELECT *, CAST(EXISTS (SELECT 1 FROM r y WHERE {MEETS} AND x.type = y.type AND {HALF} >= 0.7) AS INT) + CAST(EXISTS (SELECT 1 FROM t y WHERE {MEETS} AND x.type = y.type AND {HALF} >= 0.65) AS INT) AS support FROM k x""",
+    "boundary_integration": f"""WITH {BC}, {KEYS}, q AS (SELECT * FROM ck WHERE type = 'TRIỆU_CHỨNG'), st AS (SELECT x.record_id, x.start, x."end", x.type, count(y.record_id) AS n, bool_and({NESTED}) AS fits FROM q x LEFT JOIN bk y ON {MEETS} GROUP BY ALL),
+      u AS (SELECT record_id, start, "end", type, CASE WHEN n = 0 THEN 'add' WHEN fits THEN 'replace' ELSE 'skip' END AS action FROM st), g AS (SELECT * FROM bk y WHERE EXISTS (SELECT 1 FROM u x WHERE x.action = 'replace' AND {MEETS} AND {NESTED}))
+      SELECT *, 'keep' AS action FROM (SELECT * FROM bk EXCEPT SELECT * FROM g) UNION ALL SELECT * FROM u WHERE action <> 'skip'""",
+    "staged_codes": f"""WITH {S}, {NAMES}, t AS (SELECT key, string_agg(DISTINCT code, '|' ORDER BY code) AS codes FROM nk GROUP BY key), m AS (SELECT span_id, {MENTION} AS mention FROM s WHERE text IS NOT NULL AND type IN ('CHẨN_ĐOÁN', 'THUỐC'))
+      SELECT span_id, CASE WHEN a.codes IS NOT NULL THEN 'exact' WHEN b.codes IS NOT NULL THEN 'first_word' ELSE 'none' END AS stage, coalesce(a.codes, b.codes, '') AS codes FROM m LEFT JOIN t a ON a.key = mention LEFT JOIN t b ON b.key = split_part(mention, ' ', 1)""",
+    "contained_phrase": f"""WITH {S}, {NAMES}, m AS (SELECT DISTINCT {MENTION} AS mention FROM s WHERE text IS NOT NULL), p AS (SELECT DISTINCT key AS phrase FROM nk)
+      SELECT mention, first(phrase ORDER BY length(phrase) DESC, phrase) AS phrase FROM m JOIN p ON contains(' ' || mention || ' ', ' ' || phrase || ' ') GROUP BY mention""",
+    "reviewed_candidates": f"""WITH {S}, u AS (SELECT DISTINCT type, lower(trim(text)) AS mention, unnest(candidates) AS code FROM s WHERE text IS NOT NULL AND type IS NOT NULL), o AS (SELECT type, code, min(mention) AS mention FROM u WHERE code IS NOT NULL GROUP BY type, code HAVING count(*) = 1),
+      x AS (SELECT span_id, type, lower(trim(text)) AS mention, candidates FROM s WHERE span_id IS NOT NULL), e AS (SELECT DISTINCT span_id, type, mention, unnest(candidates) AS code FROM x), k AS (SELECT span_id, count(*) AS n FROM e WHERE NOT EXISTS (SELECT 1 FROM o WHERE o.type = e.type AND o.mention = e.mention AND o.code = e.code) GROUP BY span_id)
+      SELECT CAST(coalesce(k.n, 0) AS INT) AS codes, count(*) AS n FROM x LEFT JOIN k USING (span_id) GROUP BY 1""",
+    "transfer_lineage": f"""WITH {BC}, x AS ({CODES.format("b")}), y AS ({CODES.format("c")}) SELECT count(*) FILTER (x.record_id IS NOT NULL AND y.record_id IS NOT NULL) AS both, count(*) FILTER (y.record_id IS NULL) AS only_before, count(*) FILTER (x.record_id IS NULL) AS only_after, count(*) AS "all" FROM x FULL JOIN y USING (record_id, start, "end", code)""",
+    "leave_one_out": f"""WITH {S}, {LINES}, {GROUPS}, {OCC}, {PASSAGE_ENTITIES}, n AS (SELECT passage, start, "end", type, count(DISTINCT record_id) AS n FROM ent GROUP BY ALL), z AS (SELECT passage, count(DISTINCT record_id) AS r FROM ent GROUP BY passage)
+      SELECT passage, count(*) AS keys, sum(r)::BIGINT AS views, sum(CASE WHEN n - 1 >= 2 THEN r ELSE r - n END)::BIGINT AS stable FROM n JOIN z USING (passage) WHERE n >= 2 GROUP BY passage""",
+    "cross_folds": f"""WITH f AS (SELECT DISTINCT doc_id, CAST({_hash("'cross'", "CAST(doc_id AS VARCHAR)")} % 5 AS INT) AS f FROM documents), r AS (SELECT f, CAST(r AS INT) AS round FROM f CROSS JOIN range(5) AS q(r))
+      SELECT round, CASE WHEN f = round THEN 'test' WHEN f = (round + 1) % 5 THEN 'validate' ELSE 'train' END AS role, count(*) AS n FROM r GROUP BY 1, 2""",
+    "score_shapes": """WITH e AS (SELECT item_id, unnest(confidences) AS c FROM evidence WHERE item_id IS NOT NULL), l AS (SELECT item_id, list_reverse_sort(list(c)) AS s FROM e WHERE c IS NOT NULL GROUP BY item_id), z AS (SELECT *, list_sum(list_transform(s, lambda x: exp(x - s[1]))) AS z FROM l)
+      SELECT item_id, round(s[1], 6) AS top, round(list_avg(s), 6) AS mean, round(list_stddev_pop(s), 6) AS dev, round(coalesce(s[1] - s[2], 0), 6) AS margin_1, round(coalesce(s[2] - s[3], 0), 6) AS margin_2, round(-list_sum(list_transform(s, lambda x: exp(x - s[1]) / z * ln(exp(x - s[1]) / z))), 6) AS entropy FROM z""",
+    "fold_thresholds": f"""WITH sc AS (SELECT CAST({_hash("'calibrate'", "CAST(record AS VARCHAR)")} % 5 AS INT) AS fold, round(list_avg(list_filter(map_values(confidences), lambda x: x IS NOT NULL)), 6) AS score, positive FROM pu_rows WHERE record IS NOT NULL),
+      t AS (SELECT fold, threshold, count(*) FILTER (score >= threshold) AS a, count(*) FILTER (score >= threshold AND positive) AS r, count(*) FILTER (positive) AS p FROM sc CROSS JOIN (SELECT unnest([0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9])::DOUBLE AS threshold) WHERE score IS NOT NULL AND positive IS NOT NULL GROUP BY fold, threshold),
+      x AS (SELECT fold, threshold, round(CASE WHEN a > 0 THEN r / a ELSE 0 END, 6) AS precision, round(CASE WHEN a + p > 0 THEN 2 * r / (a + p) ELSE 0 END, 6) AS f1 FROM t) SELECT * FROM x WHERE precision >= 0.2 QUALIFY row_number() OVER (PARTITION BY fold ORDER BY f1 DESC, precision DESC, threshold DESC) = 1""",
+    "response_clusters": f"""WITH {S}, {LINES}, {GROUPS}, {OCC}, x AS (SELECT DISTINCT passage, record_id, s.start - o.start AS start, s."end" - o.start AS "end", type FROM s JOIN o ON s.record_id = o.doc_id AND s.start >= o.start AND s."end" <= o."end" AND s.start < s."end" AND type IS NOT NULL)
+      SELECT passage, start, "end", type, count(DISTINCT record_id) AS records FROM x GROUP BY ALL HAVING count(DISTINCT record_id) >= 2""",
+    "routed_ranking": """WITH em AS (SELECT vec_id AS id, embedding::DOUBLE[] AS v, label FROM embeddings), t AS (SELECT q.id AS query_id, b.id AS base_id, round(list_cosine_similarity(q.v, b.v), 6) AS score FROM em q JOIN em b ON q.id % 50 = 0 AND (q.label >= 5 OR q.label = b.label))
+      SELECT query_id, base_id, score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, base_id) AS INT) AS rank FROM t QUALIFY rank <= 3""",
+}

@@ -10,7 +10,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from spanloom.functions import text as T
-from spanloom.operators import evaluate, generate, learn, quality, retrieve, sample, spans, votes
+from spanloom.operators import evaluate, generate, learn, merge, quality, retrieve, sample, spans, votes
 from spanloom.session import table
 
 RULES, MODELS = ("rule", "lex_core"), ("tok_alpha", "llm_wide")
@@ -612,3 +612,127 @@ def pu_bagging(spark, d):
     key = F.concat_ws(":", "record", "start", "end", "type")
     out = learn.pu_bagging(rows, "positive", key, bags=3)
     return out.groupBy("type").agg(F.count("*").alias("n"), F.round(F.avg("score"), 4).alias("mean_score"), F.round(F.avg(F.when(F.col("positive"), F.col("score"))), 4).alias("positive_score"))
+
+
+# ---- merging and decisions ----
+
+
+@query
+def routed_merge(spark, d):
+    base, new = _snapshots(spark, d)
+    r = merge.route(new, base, ("TRIỆU_CHỨNG", "CHẨN_ĐOÁN"))
+    return r.select("record_id", "start", "end", "type", "source", F.coalesce(F.size("candidates"), F.lit(0)).alias("codes"))
+
+
+@query
+def disjoint_union(spark, d):
+    return merge.add_disjoint(*_snapshots(spark, d))
+
+
+@query
+def three_way_support(spark, d):
+    s = _spans(spark, d)
+    of = lambda name: s.where(F.col("source") == name)
+    return merge.three_way(of("rule"), of("llm_wide"), of("tok_alpha"), 0.7, 0.65)
+
+
+@query
+def boundary_integration(spark, d):
+    base, new = _snapshots(spark, d)
+    return merge.integrate_boundaries(base, new.where("type = 'TRIỆU_CHỨNG'"))
+
+
+@query
+def lab_split(spark, d):
+    pairs = generate.numeric_pairs(_docs(spark, d), LAB_NAMES).withColumnRenamed("doc_id", "record_id")
+    return merge.split_results(_spans(spark, d), pairs, ("TÊN_XÉT_NGHIỆM", "KẾT_QUẢ_XÉT_NGHIỆM"), "TÊN_XÉT_NGHIỆM", "KẾT_QUẢ_XÉT_NGHIỆM").groupBy("type", "source").agg(F.count("*").alias("n"))
+
+
+def _names(spark, d):
+    n = table(spark, d, "nodes", "identifier", "canonical", "aliases")
+    return n.select(F.col("identifier").alias("code"), F.explode(F.concat(F.array("canonical"), F.coalesce("aliases", F.array().cast("array<string>")))).alias("name")).where("name is not null")
+
+
+@query
+def staged_codes(spark, d):
+    s = _spans(spark, d).where("text is not null and type in ('CHẨN_ĐOÁN', 'THUỐC')").select("span_id", T.phrase_key("text").alias("mention"))
+    names = _names(spark, d).select("code", T.phrase_key("name").alias("key"))
+    first = F.get(F.split("mention", " "), F.lit(0))
+    r = merge.staged_lookup(s, "mention", [("exact", names, F.col("mention")), ("first_word", names, first)])
+    return r.select("span_id", "stage", F.coalesce(F.array_join("codes", "|"), F.lit("")).alias("codes"))
+
+
+@query
+def contained_phrase(spark, d):
+    s = _spans(spark, d).where("text is not null").select(T.phrase_key("text").alias("mention"))
+    return merge.longest_contained(s, _names(spark, d).select(T.phrase_key("name").alias("phrase")))
+
+
+@query
+def product_choice(spark, d):
+    s = _spans(spark, d).where("text is not null and type = 'THUỐC'").select(T.phrase_key("text").alias("mention")).distinct()
+    strength = F.nullif(F.regexp_extract("mention", r"([0-9]+(?:[.,][0-9]+)? ?(?:mg|ml|g))", 1), F.lit(""))
+    m = s.select("mention", F.get(F.split("mention", " "), F.lit(0)).alias("ingredient"), strength.alias("strength"))
+    p = _names(spark, d).select(T.phrase_key("name").alias("ingredient"), F.col("code").alias("product"), F.explode(F.array(F.lit(None).cast("string"), F.lit("10 mg"), F.lit("1 g"))).alias("strength"), F.col("name").alias("term"))
+    return merge.best_product(m, p)
+
+
+@query
+def reviewed_candidates(spark, d):
+    s = _spans(spark, d)
+    # a review table: codes that one mention alone carries are dropped
+    use = s.where("text is not null and type is not null").select("type", F.lower(F.trim("text")).alias("mention"), F.explode("candidates").alias("code")).where("code is not null").distinct()
+    one = use.groupBy("type", "code").agg(F.min("mention").alias("mention"), F.count("*").alias("n")).where("n = 1").withColumn("decision", F.lit("drop"))
+    r = merge.apply_reviews(s, one)
+    return r.groupBy(F.size("candidates").alias("codes")).agg(F.count("*").alias("n"))
+
+
+@query
+def transfer_lineage(spark, d):
+    code = lambda s: s.select("record_id", "start", "end", F.explode("candidates").alias("code"))
+    a, b = _snapshots(spark, d)
+    return merge.lineage(code(a), code(b), ["record_id", "start", "end", "code"])
+
+
+@query
+def leave_one_out(spark, d):
+    return merge.leave_one_out(_passage_entities(spark, d), "passage", "record_id", ["start", "end", "type"])
+
+
+@query
+def cross_folds(spark, d):
+    return merge.folds(table(spark, d, "documents", "doc_id"), "doc_id", 5, "cross").groupBy("round", "role").agg(F.count("*").alias("n"))
+
+
+@query
+def score_shapes(spark, d):
+    e = table(spark, d, "evidence", "item_id", "type", "confidences").where("item_id is not null")
+    c = F.filter("confidences", lambda x: x.isNotNull())
+    m = e.groupBy("item_id").agg(F.array_sort(F.flatten(F.collect_list(c))).alias("c")).where(F.size("c") > 0)
+    return m.select("item_id", merge.score_shape(F.col("c")).alias("x")).select("item_id", "x.*")
+
+
+@query
+def span_choice_counts(spark, d):
+    return merge.span_choices(_spans(spark, d), _docs(spark, d))
+
+
+@query
+def fold_thresholds(spark, d):
+    s = _scored(spark, d).withColumn("fold", sample.fold(F.col("record"), 5, "calibrate"))
+    return merge.calibrate_per_fold(s, GRID, 0.2)
+
+
+@query
+def response_clusters(spark, d):
+    o = generate.passage_occurrences(_docs(spark, d)).select("passage", F.col("doc_id").alias("record_id"), F.col("start").alias("w_start"), F.col("end").alias("w_end"))
+    return merge.clusters(_spans(spark, d), o)
+
+
+@query
+def routed_ranking(spark, d):
+    e = table(spark, d, "embeddings", "vec_id", "embedding", "label").select(F.col("vec_id").alias("id"), "embedding", "label")
+    q = e.where("id % 50 = 0")
+    everything, pooled = retrieve.dense_top(q, e, 3), retrieve.dense_top(q, e, 3, "label")
+    kinds = q.select(F.col("id").alias("query_id"), F.when(F.col("label") < 5, "low").otherwise("high").alias("type"))
+    return merge.router(kinds, {"low": pooled}, everything)
