@@ -194,6 +194,9 @@ def span_choices(spans: DataFrame, docs: DataFrame, reach: int = 4, most: int =
     before = F.element_at(F.split(F.substring("text", F.lit(1), F.col("start")), "\n", -1), -1)
     after = F.element_at(F.split(F.substring("text", F.col("end") + 1, F.length("text")), "\n", -1), 1)
     seed = F.substring("text", F.col("start") + 1, F.col("end") - F.col("start"))
+    # what is left of a word that the seed cuts belongs to the seed
+    before = F.when(seed.rlike("^[^ \t]"), F.regexp_replace(before, "[^ \t]+$", "")).otherwise(before)
+    after = F.when(seed.rlike("[^ \t]$"), F.regexp_replace(after, "^[^ \t]+", "")).otherwise(after)
     count = lambda c: F.size(F.filter(F.split(c, "[ \t]+"), lambda w: w != ""))
     left, own, right = F.least(count(before), F.lit(reach)), count(seed), F.least(count(after), F.lit(reach))
     pairs = F.flatten(F.transform(F.sequence(F.lit(0), left), lambda a: F.transform(F.sequence(F.lit(0), right), lambda b: a + b + own)))
