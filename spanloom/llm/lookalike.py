@@ -180,7 +180,7 @@ def same_looking(spans: DataFrame, raws: DataFrame, nodes: DataFrame) -> DataFra
     """
     words = vocabulary(nodes)
     form = canonical_form(words)
-    # distinct before Python and before the join: rows delivered twice, texts extracted again and again
+    # spans go to Python as they are, without a shuffle; raw rows that were sent again become one
     a = spans.where("text is not null and record_id is not null").select("record_id", "span_id", "text").withColumn("form", form("text"))
     b = raws.where("raw is not null and record_id is not null").select("record_id", "raw_id", "raw").distinct().withColumn("form", form("raw"))
     # texts of a record are spread by their form, so a record with many rows is no hot key
