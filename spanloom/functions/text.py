@@ -168,3 +168,49 @@ def display_code(c: Column | str) -> Column:
 def parent_code(c: Column | str) -> Column:
     """The textual parent: the first three characters, where the code is finer."""
     return F.when(F.length(_col(c)) > 3, F.substring(_col(c), 1, 3))
+
+
+def text_similarity(a: Column | str, b: Column | str) -> Column:
+    """1 less the word edit distance over the words of ``a`` (it can be negative); of two empty texts 1, of an empty ``a`` alone 0."""
+    x, y = words(F.coalesce(_col(a), F.lit(""))), words(F.coalesce(_col(b), F.lit("")))
+    return F.when(F.size(x) > 0, 1 - word_distance(x, y) / F.size(x)).otherwise(F.when(F.size(y) == 0, 1.0).otherwise(0.0))
+
+
+def block_ratio(a: Column | str, b: Column | str) -> Column:
+    """Share of characters in the longest common blocks of two texts (Ratcliff and Obershelp); null if one is null."""
+    from difflib import SequenceMatcher
+
+    from pyspark.sql.types import DoubleType
+
+    @F.pandas_udf(DoubleType())
+    def run(x: pd.Series, y: pd.Series) -> pd.Series:
+        return pd.Series([None if p is None or q is None else SequenceMatcher(None, p, q).ratio() for p, q in zip(x, y)], dtype="float64")
+
+    return run(_col(a), _col(b))
+
+
+def whole_words(text: Column | str, start: Column | str, end: Column | str) -> Column:
+    """Struct of the span widened to the words that it cuts and without signs and blanks at its edges; null if nothing is left."""
+    kind = StructType([StructField("start", IntegerType()), StructField("end", IntegerType())])
+
+    @F.pandas_udf(kind)
+    def run(texts: pd.Series, starts: pd.Series, ends: pd.Series) -> pd.DataFrame:
+        out = []
+        for t, a, b in zip(texts, starts, ends):
+            if t is None or pd.isna(a) or pd.isna(b) or not 0 <= a < b <= len(t):
+                out.append((None, None))
+                continue
+            a, b = int(a), int(b)
+            while a and t[a - 1].isalnum() and t[a].isalnum():
+                a -= 1
+            while b < len(t) and t[b].isalnum() and t[b - 1].isalnum():
+                b += 1
+            while a < b and not t[a].isalnum():
+                a += 1
+            while a < b and not t[b - 1].isalnum():
+                b -= 1
+            out.append((a, b) if a < b else (None, None))
+        return pd.DataFrame(out, columns=["start", "end"]).astype("Int32")
+
+    s = run(_col(text), _col(start), _col(end))
+    return F.when(s["start"].isNotNull(), s)

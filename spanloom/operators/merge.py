@@ -231,3 +231,37 @@ def clusters(proposals: DataFrame, passages: DataFrame) -> DataFrame:
 def ranked_window(df: DataFrame, by: list[str], order: list[Column], n: int) -> DataFrame:
     """The first n rows of each group in a full order."""
     return df.withColumn("_n", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where(F.col("_n") <= n).drop("_n")
+
+
+def compatible_before(spans: DataFrame) -> DataFrame:
+    """Of each distinct span how many of its record end at or before its start: its last compatible place by end (0: none)."""
+    from spanloom.operators.generate import latest_before
+
+    k = spans.dropna(subset=["record_id", "start", "end"]).where("start < `end`").select("record_id", "start", "end").distinct()
+    ends = k.groupBy(F.col("record_id").alias("doc_id"), F.col("end").alias("at")).agg(F.count("*").alias("n"))
+    marks = ends.withColumn("before", F.sum("n").over(Window.partitionBy("doc_id").orderBy("at"))).select("doc_id", "at", "before")
+    found = latest_before(k.withColumnRenamed("record_id", "doc_id").withColumn("at", F.col("start")), marks, "at", "before")
+    return found.select(F.col("doc_id").alias("record_id"), "start", "end", F.coalesce("before", F.lit(0)).cast("bigint").alias("before"))
+
+
+def leave_family_out(family_labels: DataFrame, labels: int) -> DataFrame:
+    """Per family the mean loss of its labels under the smoothed votes of the other families. ``item_id, family, label``."""
+    f = family_labels.dropna(subset=["item_id", "family", "label"])
+    own, total = Window.partitionBy("item_id", "label"), Window.partitionBy("item_id")  # as many rows as families
+    share = F.count("*").over(own) / (F.count("*").over(total) - 1 + labels)  # without its own vote, with one for smoothing
+    s = f.withColumn("loss", -F.log(share)).groupBy("family").agg(F.count("*").alias("n"), F.round(F.avg("loss"), 6).alias("loss"))
+    return s
+
+
+def two_pass(rows: DataFrame, first: DataFrame, second: DataFrame, key: str, default: str) -> DataFrame:
+    """``key, decision, passes``: the decision that both reviews of a key give, else the default; how many reviewed it."""
+    one = lambda df, name: df.dropna(subset=[key, "decision"]).groupBy(key).agg(F.min("decision").alias(name))
+    j = rows.where(F.col(key).isNotNull()).select(key).distinct().join(one(first, "_a"), key, "left").join(one(second, "_b"), key, "left")
+    passes = F.col("_a").isNotNull().cast("int") + F.col("_b").isNotNull().cast("int")
+    return j.select(key, F.when(F.col("_a") == F.col("_b"), F.col("_a")).otherwise(F.lit(default)).alias("decision"), passes.alias("passes"))
+
+
+def passage_means(scores: DataFrame, passage: str, value: str) -> DataFrame:
+    """One row: the mean over passages of the means within them, so that a passage found often counts once."""
+    m = scores.dropna(subset=[passage, value]).groupBy(passage).agg(F.avg(value).alias("m"), F.count("*").alias("n"))
+    return m.agg(F.count("*").alias("passages"), F.sum("n").alias("rows"), F.round(F.avg("m"), 6).alias("mean"))

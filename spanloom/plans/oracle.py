@@ -267,3 +267,12 @@ ORACLE |= {
     "routed_ranking": """WITH em AS (SELECT vec_id AS id, embedding::DOUBLE[] AS v, label FROM embeddings), t AS (SELECT q.id AS query_id, b.id AS base_id, round(list_cosine_similarity(q.v, b.v), 6) AS score FROM em q JOIN em b ON q.id % 50 = 0 AND (q.label >= 5 OR q.label = b.label))
       SELECT query_id, base_id, score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, base_id) AS INT) AS rank FROM t QUALIFY rank <= 3""",
 }
+
+ORACLE |= {
+    "compatible_before": f"""WITH {S}, k AS (SELECT DISTINCT record_id, start, "end" FROM s WHERE record_id IS NOT NULL AND start < "end") SELECT x.record_id, x.start, x."end", count(y.record_id) AS before FROM k x LEFT JOIN k y ON x.record_id = y.record_id AND y."end" <= x.start GROUP BY ALL""",
+    "leave_family_out": f"""WITH v AS (SELECT item_id, {_family(SRC)} AS family, type FROM proposals WHERE item_id IS NOT NULL AND source IS NOT NULL AND type IS NOT NULL), f AS (SELECT item_id, family, min(type) AS label FROM v GROUP BY item_id, family HAVING min(type) = max(type)),
+      s AS (SELECT family, -ln(count(*) OVER (PARTITION BY item_id, label) / (count(*) OVER (PARTITION BY item_id) - 1 + 6)) AS loss FROM f) SELECT family, count(*) AS n, round(avg(loss), 6) AS loss FROM s GROUP BY family""",
+    "two_pass_review": f"""WITH p AS (SELECT item_id, {SRC} AS source, type FROM proposals WHERE item_id IS NOT NULL AND type IS NOT NULL), a AS (SELECT item_id, min(type) AS a FROM p WHERE source = 'nurse_a' GROUP BY item_id), b AS (SELECT item_id, min(type) AS b FROM p WHERE source = 'nurse_b' GROUP BY item_id)
+      SELECT item_id, CASE WHEN a = b THEN a ELSE 'ABSTAIN' END AS decision, CAST(a IS NOT NULL AS INT) + CAST(b IS NOT NULL AS INT) AS passes FROM (SELECT DISTINCT item_id FROM evidence WHERE item_id IS NOT NULL) LEFT JOIN a USING (item_id) LEFT JOIN b USING (item_id)""",
+    "passage_mean_confidence": f"""WITH {S}, {LINES}, {GROUPS}, {OCC}, m AS (SELECT passage, avg(confidence) AS m, count(*) AS n FROM s JOIN o ON s.record_id = o.doc_id AND s.start >= o.start AND s."end" <= o."end" WHERE confidence IS NOT NULL AND s.start < s."end" GROUP BY passage) SELECT count(*) AS passages, sum(n)::BIGINT AS rows, round(avg(m), 6) AS mean FROM m""",
+}

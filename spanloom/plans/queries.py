@@ -736,3 +736,42 @@ def routed_ranking(spark, d):
     everything, pooled = retrieve.dense_top(q, e, 3), retrieve.dense_top(q, e, 3, "label")
     kinds = q.select(F.col("id").alias("query_id"), F.when(F.col("label") < 5, "low").otherwise("high").alias("type"))
     return merge.router(kinds, {"low": pooled}, everything)
+
+
+@query
+def compatible_before(spark, d):
+    return merge.compatible_before(_spans(spark, d))
+
+
+@query
+def leave_family_out(spark, d):
+    p = table(spark, d, "proposals", "item_id", "source", "type")
+    return merge.leave_family_out(votes.family_votes(p, FAMILIES), 6)
+
+
+@query
+def two_pass_review(spark, d):
+    p = table(spark, d, "proposals", "item_id", "source", "type").withColumn("source", votes.source_key("source"))
+    of = lambda name: p.where(F.col("source") == name).select("item_id", F.col("type").alias("decision"))
+    return merge.two_pass(table(spark, d, "evidence", "item_id"), of("nurse_a"), of("nurse_b"), "item_id", "ABSTAIN")
+
+
+@query
+def passage_mean_confidence(spark, d):
+    o = generate.passage_occurrences(_docs(spark, d)).select("passage", F.col("doc_id").alias("record_id"), F.col("start").alias("w_start"), F.col("end").alias("w_end"))
+    s = _spans(spark, d).where("record_id is not null and confidence is not null and start < `end`").select("record_id", "start", "end", "confidence")
+    j = s.join(o, "record_id").where("start >= w_start and `end` <= w_end")
+    return merge.passage_means(j, "passage", "confidence")
+
+
+@query
+def trimmed_spans(spark, d):
+    s = _spans(spark, d).dropna(subset=["record_id", "start", "end"]).select("span_id", "record_id", "start", "end")
+    j = s.join(_docs(spark, d).withColumnRenamed("doc_id", "record_id"), "record_id").withColumn("x", T.whole_words("text", "start", "end"))
+    return j.where("x is not null").select("span_id", F.col("x.start").alias("start"), F.col("x.end").alias("end"))
+
+
+@query
+def alias_ratio(spark, d):
+    n = table(spark, d, "nodes", "identifier", "canonical", "aliases")
+    return n.select("identifier", F.explode("aliases").alias("alias"), "canonical").select("identifier", "alias", F.round(T.block_ratio("canonical", "alias"), 6).alias("ratio"))

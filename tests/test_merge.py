@@ -102,3 +102,20 @@ def test_stream_resumes(spark, tmp_path):
     done = spark.read.parquet(out)
     assert done.count() == 3
     assert increment.missing(d.union(spark.createDataFrame([(5, "e")], d.schema)), done).select("doc_id").collect() == [(5,)]
+
+
+def test_small_pieces(spark):
+    from spanloom.functions import text as T
+
+    t = "đau (đầu), sốt"
+    df = spark.createDataFrame([(t, 6, 8), (t, 3, 5), (t, 4, 10), (None, 0, 1), (t, None, 2), (t, 0, 99)], "text string, start int, `end` int")
+    got = [None if r.x is None else t[r.x.start : r.x.end] for r in df.select(T.whole_words("text", "start", "end").alias("x")).collect()]
+    assert got == ["đầu", None, "đầu", None, None, None]
+    s = spark.createDataFrame([("a b", "a c"), ("", ""), ("", "x"), ("a", "x y z"), (None, None)], "a string, b string").select(T.text_similarity("a", "b").alias("x"))
+    assert [r.x for r in s.collect()] == [0.5, 1.0, 0.0, -2.0, 1.0]
+    spans = spark.createDataFrame([(1, 0, 5), (1, 5, 9), (1, 2, 7), (1, 2, 7), (1, None, 3)], "record_id bigint, start int, `end` int")
+    assert rows(merge.compatible_before(spans), "start", "end", "before") == [(0, 5, 0), (2, 7, 0), (5, 9, 1)]
+    ids = spark.createDataFrame([(1,), (2,), (3,), (None,)], "id bigint")
+    a = spark.createDataFrame([(1, "keep"), (2, "keep")], "id bigint, decision string")
+    b = spark.createDataFrame([(1, "keep"), (2, "drop"), (9, "keep")], "id bigint, decision string")
+    assert rows(merge.two_pass(ids, a, b, "id", "unsure"), "id", "decision", "passes") == [(1, "keep", 2), (2, "unsure", 2), (3, "unsure", 0)]
