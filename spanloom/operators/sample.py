@@ -86,6 +86,41 @@ def stratified_means(df: DataFrame, stratum: str, key: str, value: str, rounds:
     return m.join(per, stratum).groupBy("round").agg((F.sum(F.col("mean") * F.col("n")) / F.sum("n")).alias("mean"))
 
 
+def resampled_means(df: DataFrame, key: str, value: str, rounds: int, seed: int, stratum: str | None = None, most: int = 4096) -> DataFrame:
+    """Mean of each round of a resample with replacement, of each stratum as many rows as it has (their means weighted by size).
+
+    Rows are dealt to blocks of about ``most``; how many draws a block has in a round follows from the
+    seed and the blocks' sizes alone, so that the blocks draw apart from each other.
+    """
+    d = df.dropna(subset=[key, value]).select(F.col(stratum).cast("string").alias("s") if stratum else F.lit("").alias("s"), F.col(key).alias("k"), F.col(value).cast("double").alias("x")).where("s is not null")
+    per = {r.s: r.n for r in d.groupBy("s").agg(F.count("*").alias("n")).collect()}
+    if not per:
+        return df.sparkSession.createDataFrame([], "round int, mean double")
+    blocks = F.create_map(*(c for s, n in per.items() for c in (F.lit(s), F.lit(-(-n // most)))))
+    d = d.withColumn("b", (hash_int(F.lit(f"block{seed}"), F.col("k")) % F.get(F.array(blocks[F.col("s")]), F.lit(0))).cast("int"))
+    sizes: dict[str, list[tuple[int, int]]] = {}
+    for r in d.groupBy("s", "b").agg(F.count("*").alias("n")).orderBy("s", "b").collect():
+        sizes.setdefault(r.s, []).append((r.b, r.n))
+    order = {s: i for i, s in enumerate(sorted(sizes))}
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        s, b = pdf["s"].iloc[0], int(pdf["b"].iloc[0])
+        x = pdf.sort_values("k", kind="stable")["x"].to_numpy()
+        n = np.asarray([m for _, m in sizes[s]])
+        place = [i for i, _ in sizes[s]].index(b)
+        shared, own = np.random.default_rng([seed, order[s]]), np.random.default_rng([seed, order[s], b + 1])
+        out = np.empty(rounds)
+        for at in range(0, rounds, 500):
+            m = shared.multinomial(n.sum(), n / n.sum(), size=min(500, rounds - at))[:, place]
+            drawn = np.concatenate(([0.0], np.cumsum(x[own.integers(0, len(x), m.sum())])))
+            ends = np.cumsum(m)
+            out[at : at + len(m)] = drawn[ends] - drawn[ends - m]
+        return pd.DataFrame({"round": np.arange(rounds, dtype=np.int32), "x": out})
+
+    total = sum(per.values())
+    return d.groupBy("s", "b").applyInPandas(run, "round int, x double").groupBy("round").agg((F.sum("x") / total).alias("mean"))
+
+
 def bounds(df: DataFrame, value: str, delta: float = 0.05, width: float = 1.0, by: list[str] | None = None) -> DataFrame:
     """Lower bounds of a mean of values in a range of ``width``: Hoeffding and empirical Bernstein. One row a group."""
     n, m, v = F.count(value), F.avg(value), F.var_samp(value)
