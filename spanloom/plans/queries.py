@@ -485,6 +485,27 @@ def bootstrap_stratified(spark, d):
     return sample.order_interval(sample.stratified_means(a, "stratum", "record_id", b, 100, "strata"), "mean")
 
 
+# The same over whole resamples and the reference's 10,000 rounds; the three above are as small as their SQL.
+
+
+@query
+def bootstrap_paired_full(spark, d):
+    a, b = _record_delta(spark, d)
+    return sample.order_interval(sample.resampled_means(a, "record_id", b, 10_000, 1), "mean")
+
+
+@query
+def bootstrap_linear_full(spark, d):
+    a, b = _record_delta(spark, d)
+    return sample.linear_interval(sample.resampled_means(a, "record_id", b, 10_000, 1), "mean")
+
+
+@query
+def bootstrap_stratified_full(spark, d):
+    a, b = _record_delta(spark, d)
+    return sample.order_interval(sample.resampled_means(a, "record_id", b, 10_000, 1, "stratum"), "mean")
+
+
 @query
 def bernstein_bounds(spark, d):
     a, b = _record_delta(spark, d)
@@ -502,7 +523,7 @@ def _record_delta(spark, d):
 
 @query
 def gate_simulation(spark, d):
-    return sample.simulate_gate(spark, (8,), (0.0, 0.5), (0.0, 0.9), ("normal", "laplace"), replications=200, rounds=100)
+    return sample.simulate_gate(spark, (8, 15), (0.0, 0.5), (0.0, 0.3, 0.6, 0.9), sample.NOISE, replications=5_000, rounds=1_000)
 
 
 # ---- retrieval and concepts ----
@@ -603,14 +624,14 @@ def code_display(spark, d):
 @query
 def dawid_skene(spark, d):
     p = table(spark, d, "proposals", "item_id", "source", "type").withColumn("source", votes.source_key("source"))
-    return learn.dawid_skene(p, rounds=4)
+    return learn.dawid_skene(p)
 
 
 @query
 def pu_bagging(spark, d):
     rows = table(spark, d, "pu_rows", "record", "text", "type", "start", "end", "confidences", "positive").where("positive is not null")
     key = F.concat_ws(":", "record", "start", "end", "type")
-    out = learn.pu_bagging(rows, "positive", key, bags=3)
+    out = learn.pu_bagging(rows, "positive", key)
     return out.groupBy("type").agg(F.count("*").alias("n"), F.round(F.avg("score"), 4).alias("mean_score"), F.round(F.avg(F.when(F.col("positive"), F.col("score"))), 4).alias("positive_score"))
 
 

@@ -6,6 +6,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from spanloom.operators import learn, sample
+from spanloom.plans import queries
 
 
 def reference(votes, classes, weights=True):
@@ -97,3 +98,17 @@ def test_resamples_within_strata(spark):
     # a stratum of equal values never moves the mean
     same = df.withColumn("x", F.when(F.col("s") == "a", 1.0).otherwise(3.0))
     assert {round(x.mean, 9) for x in sample.resampled_means(same, "k", "x", 50, 1, "s").collect()} == {1.5}
+
+
+def test_queries_have_whole_counts(spark, monkeypatch):
+    d = "/root/testdata/sf0.001"
+    for name in ("bootstrap_paired_full", "bootstrap_linear_full", "bootstrap_stratified_full"):
+        assert queries.QUERIES[name](spark, d).first().rounds == 10_000
+    asked = {}
+    for owner, name in ((learn, "dawid_skene"), (learn, "pu_bagging"), (sample, "simulate_gate")):
+        monkeypatch.setattr(owner, name, lambda *x, name=name, **k: (asked.update({name: k}), pu)[1])
+    pu = spark.createDataFrame([], "type string, score double, positive boolean")
+    for name in ("dawid_skene", "pu_bagging", "gate_simulation"):
+        queries.QUERIES[name](spark, d)
+    assert not {"rounds", "tolerance"} & set(asked["dawid_skene"]) and "bags" not in asked["pu_bagging"]
+    assert asked["simulate_gate"] == {"replications": 5_000, "rounds": 1_000}
