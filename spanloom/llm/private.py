@@ -151,7 +151,7 @@ def _automaton():
     found: dict[str, set[str]] = {}
     for kind, words in (
         ("name", NAME_CUES), ("id", ID_CUES), ("address", ADDRESS_CUES), ("family", FAMILY),
-        ("rewrite", ["(at)", "[at]", "{at}", "<at>", "a còng", "a móc", "dot]", "dot)", " dot ", "bảy", "tám", "chín", "seven", "eight"]),
+        ("rewrite", ["(at)", "[at]", "{at}", "<at>", "a còng", "a móc", " at ", "dot]", "dot)", " dot "]), ("digit", list(DIGITS)),
         ("mail", ["@"]), ("dash", [" - "]), ("person", ["("]), ("semicolon", ["; "]),
     ):
         for w in words:
@@ -198,7 +198,8 @@ class Finder:
         for (a, b), found in hits.items():
             kinds = {k for k, _, _ in found}
             line = Mapped(t[a:b])
-            if "rewrite" in kinds or "mail" in kinds:
+            # a spelled number has nine words at least
+            if "rewrite" in kinds or "mail" in kinds or "digit" in kinds and sum(k == "digit" for k, _, _ in found) >= 9:
                 line = undisguise(line)
                 if line.cuts is not None:  # found again on the rewritten line
                     found = self._hits(line.text)
