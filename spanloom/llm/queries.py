@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from spanloom.llm import consensus, linking, lookalike, overlap, packing, private, shared, tokenize
 from spanloom.session import table
 
@@ -11,7 +13,9 @@ def p1_found(spark, d):
 
 
 def p1_forms(spark, d):
-    return lookalike.normalise(table(spark, d, "raw_texts", "raw_id", "raw"), "raw", lookalike.vocabulary(table(spark, d, "nodes")))
+    own = lambda name, key, text: table(spark, d, name, key, text).select(F.lit(name).alias("origin"), F.col(key).cast("bigint").alias("id"), F.col(text).alias("text"))
+    both = own("spans", "span_id", "text").unionByName(own("raw_texts", "raw_id", "raw"))
+    return lookalike.normalise(both, "text", lookalike.vocabulary(table(spark, d, "nodes")))
 
 
 def p2_found(spark, d):

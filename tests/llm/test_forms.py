@@ -2,7 +2,7 @@
 
 import pytest
 
-from spanloom.llm import private
+from spanloom.llm import private, queries
 
 
 @pytest.mark.parametrize(
@@ -13,3 +13,9 @@ from spanloom.llm import private
 def test_plain_disguises(text, want, kind):
     a = text.index(want)
     assert private.Finder()(text) == [(a, a + len(want), kind)]
+
+
+def test_forms_of_both_tables(spark):
+    d = "/root/testdata/sf0.001"
+    got = queries.p1_forms(spark, d).groupBy("origin").count().collect()
+    assert {r.origin: r["count"] for r in got} == {t: spark.read.parquet(f"{d}/{t}.parquet").count() for t in ("spans", "raw_texts")}
