@@ -161,15 +161,22 @@ def test_common_words_in_order():
         assert overlap.common_in_order(a, b) == d[-1][-1]
 
 
-def test_backward_index_finds_all():
+def test_shard_counts_and_reads_back():
     r = random.Random(6)
-    texts = [np.asarray([r.randrange(4) for _ in range(r.randrange(5, 30))]) for _ in range(20)]
-    index = overlap.BackwardIndex(texts)
-    patterns = np.asarray([[r.randrange(5) for _ in range(3)] for _ in range(80)])
-    low, high = index.search(patterns)
-    for p, a, b in zip(patterns, low, high):
-        places = {int(x) for x in index.suffixes[a:b]}
-        assert places == {int(s) + i for s, t in zip(index.start, texts) for i in range(len(t) - 2) if (t[i : i + 3] == p).all()}
+    texts = [" ".join(r.choice("abcdefg") for _ in range(r.randrange(60, 90))) for _ in range(30)]
+    shard = overlap.Shard.load(overlap.Shard(np.arange(30), texts).dump())
+    known, flat, sizes = overlap._words(texts)
+    number = shard.numbers(known)
+    starts = np.cumsum(sizes) - sizes
+    read = shard.read(np.arange(30))
+    assert all((read[i] == number[flat[starts[i] : starts[i] + sizes[i]]]).all() for i in range(30))
+    for _ in range(60):
+        pattern = [r.choice(list(number)) for _ in range(r.randrange(1, 5))]
+        low, high = shard.first[pattern[-1]], shard.first[pattern[-1] + 1]
+        for w in pattern[-2::-1]:
+            low, high = (int(x[0]) for x in shard.back(np.array([w]), np.array([low]), np.array([high])))
+        seen = sum((x[i : i + len(pattern)] == pattern).all() for x in read.values() for i in range(len(x) - len(pattern) + 1))
+        assert high - low == seen
 
 
 def test_cross_split_pairs(spark):
