@@ -134,8 +134,8 @@ def test_consensus_beats_votes(spark):
         for s, p in (("n-1", 0.85), ("n-2", 0.8), ("weak", 0.5)):
             rows.append((i, s, t if r.random() < p else r.choice(types)))
     rows += [(0, None, "A"), (1, "n-1", None), (9999, None, None)]
-    df = spark.createDataFrame(rows, "item_id bigint, source string, type string")
-    none = spark.createDataFrame([], "item_id bigint, sources array<string>, type string")
+    df = spark.createDataFrame([(*x, None) for x in rows], "item_id bigint, source string, type string, confidence double")
+    none = spark.createDataFrame([], "item_id bigint, sources array<string>, confidences array<double>, type string")
     found, sources = consensus.consensus(df, none)
     got = {x.item_id: x.label for x in found.collect()}
     assert got.pop(9999) is None and len(got) == 600
@@ -147,6 +147,43 @@ def test_consensus_beats_votes(spark):
     assert consensus.consensus(df.limit(0), none)[0].count() == 0
 
 
+def test_consensus_objective_rises_and_items_matter(spark):
+    r = random.Random(40)
+    types, rows = ["A", "B", "C"], []
+    for i in range(400):
+        t, odd = r.choice(types), r.random() < 0.3  # an odd item draws one wrong answer
+        for s in range(6):
+            rows.append((i, f"s{s}", r.choice(types) if r.random() < 0.3 else "C" if odd and r.random() < 0.5 else t, r.choice((None, 0.4, 0.75, 0.95, 7.0, float("nan")))))
+    cast = consensus.votes(
+        spark.createDataFrame(rows[1000:], "item_id bigint, source string, type string, confidence double"),
+        spark.createDataFrame([(i, t, [s, None], [c]) for i, s, t, c in rows[:1000]] + [(1, None, None, None), (2, "A", ["s1"], None)], "item_id bigint, type string, sources array<string>, confidences array<double>"),
+    )
+    items, model = consensus._prepare(cast)
+    model.fit(items)
+    assert len(model.objective) > 2 and all(b >= a - 1e-6 * abs(a) for a, b in zip(model.objective, model.objective[1:]))
+    arrow = items.toArrow().combine_chunks().to_batches()[0]
+    one = consensus.Batch(arrow.column("voters"), arrow.column("votes"), model.members)
+    q, item, _, value = one.fit(model.source, model.prior)
+    plain, _, _, before = one.fit(model.source, model.prior, inner=0)
+    assert abs(item).max() > 0.3 and (value >= before - 1e-9).all()
+    assert (q.argmax(axis=1) != plain.argmax(axis=1)).any()
+
+
+def test_consensus_finds_copies_only(spark):
+    r = random.Random(41)
+    types, rows = ["A", "B", "C", "D"], []
+    for i in range(500):
+        t = r.choice(types)
+        own = {s: t if r.random() < 0.7 else r.choice(types) for s in "abcdefgh"}
+        own["copy"] = own["a"] if r.random() < 0.95 else r.choice(types)
+        own["stuck"], own["stuck2"] = "A", "A"  # alike by their nature, not by copying
+        rows += [(i, s, x, None) for s, x in own.items()]
+    items, model = consensus._prepare(spark.createDataFrame(rows, "item_id bigint, source string, type string, confidence double"))
+    model.fit(items)
+    groups = {g: [s for s, m in zip(model.sources, model.members.tolist()) if m == g] for g in model.members.tolist()}
+    assert sorted(x for x in groups.values() if len(x) > 1) == [["a", "copy"]]
+
+
 # ---- 5 ----
 
 
