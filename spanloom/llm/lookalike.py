@@ -1,21 +1,23 @@
 """Problem 1: visually identical text with different characters.
 
-Each text is cut at blanks. A token is first walked through a trie of canonical
-spellings by a weighted edit automaton in which look-alikes, accents composed
-otherwise and ignorable characters cost nothing and every other slip costs more
-than is allowed; if the walk ends on a word, its spelling is taken. Other tokens
-are normalised by the same table. Vocabulary words are fixed points of the table,
-so both ways give one form, and the form is idempotent.
-
-What doesn't show: width, invisible characters, kind of blank or hyphen, how accents
-are composed, the script a letter shape is taken from. What shows is kept: letter
-case, tone and vowel marks, raised and lowered digits, fractions, punctuation, and
-whether there is a blank (runs of blanks count as one; blanks at the ends go).
-A null text stays null and an empty one empty.
+Each text is cut at blanks. A token, and what is left of it without signs at its ends, is
+walked through a trie of the words of the reference names by a weighted edit automaton.
+Characters of one shape and ignorable ones cost nothing, characters of nearly one shape
+``NEARLY``, and every other slip 1; a walk may cost ``most`` in all. Where words are reached, the
+spelling of the cheapest is taken, so the list decides between shapes that stand for several
+letters (a Cyrillic capital I for I or l) and keeps what it spells in another script
+(TNF-α). Tokens that reach no word are normalised by a table of shapes.
+
+Texts are held alike only at no cost, which is the default: case, tone and vowel marks,
+raised and lowered digits, fractions, punctuation and whether there is a blank show; width,
+invisible characters, kind of blank or hyphen, how accents are composed and the script
+a letter shape is taken from don't. Runs of blanks count as one; blanks at the ends go.
+The form is idempotent. A null text stays null and an empty one empty.
 """
 
 from __future__ import annotations
 
+import string
 import unicodedata
 from functools import lru_cache
 
@@ -36,9 +38,15 @@ LOOKALIKES = {
 }
 # Characters without a shape of their own.
 IGNORABLE = "­͏؜ᅟᅠ឴឵᠋᠌᠍᠎​‌‍‎‏‪‫‬‭‮⁠⁡⁢⁣⁤⁦⁧⁨⁩︎️﻿"
+# Shapes that stand for several letters, the usual one first.
+SEVERAL = {"І": "Il", "Ӏ": "Il", "Ι": "Il", "ӏ": "lI", "ǀ": "lI", "υ": "uv"}
+#: Letters and signs of nearly one shape.
+NEAR_SHAPES = ("Il1|", "O0", "S5", "B8", "Z2", "uv")
+NEARLY = 0.4
 HYPHENS = "‐‑‒–−­﹣－⁃"
 _VOWEL_MARKS = "̛̂̆"
-MAX_TOKEN = 64
+#: Words of the reference names that a worker holds; it is checked.
+MOST_WORDS = 2_000_000
 
 
 def _table() -> dict[int, str | None]:
@@ -89,35 +97,77 @@ def by_table(s: str) -> str:
     return " ".join(unicodedata.normalize("NFC", s).split())
 
 
+def _shapes(c: str) -> str:
+    """What a decomposed character may show; empty if it shows nothing."""
+    if c in SEVERAL:
+        return SEVERAL[c]
+    to = TABLE.get(ord(c), c)
+    return "" if to is None else to
+
+
 class Trie:
-    """Canonical spellings, walked over decomposed characters."""
+    """Canonical spellings over decomposed characters. Of words that look the same the first in order is the spelling of all."""
 
     def __init__(self, words: list[str]):
         self.root: dict = {}
-        for w in sorted(set(words)):
-            if w and by_table(w) == w:
-                node = self.root
-                for c in _marks(w):
-                    node = node.setdefault(c, {})
-                node[""] = w
-
-    def walk(self, token: str) -> str | None:
-        """The word that the token shows at no cost, if there is one."""
-        states = {id(self.root): self.root}
+        #: Plain forms of words that the table would spell otherwise.
+        self.named: dict[str, str] = {}
+        spelled: dict[str, str] = {}
+        for w in sorted(set(words), key=lambda w: (by_table(w) != w, w)):
+            form = by_table(w)
+            if not form or " " in form:
+                continue
+            own = spelled.setdefault(form, unicodedata.normalize("NFC", w))
+            if own != form:
+                self.named[form] = own
+            node = self.root
+            for c in _marks(form):
+                node = node.setdefault(c, {})
+            node[""] = own
+
+    def walk(self, token: str, most: float = 0.0) -> str | None:
+        """The word that the token shows at the least cost of at most ``most``; of several the one the table would give, then the first."""
+        states: dict[int, tuple[float, dict]] = {id(self.root): (0.0, self.root)}
+
+        def reach(to: dict[int, tuple[float, dict]], node: dict, cost: float) -> None:
+            if cost <= most and (id(node) not in to or cost < to[id(node)][0]):
+                to[id(node)] = (cost, node)
+
+        def skip(to: dict[int, tuple[float, dict]]) -> dict[int, tuple[float, dict]]:
+            """States after letters of the word that the token leaves out."""
+            open_ = list(to.values()) if most >= 1 else []
+            while open_:
+                cost, node = open_.pop()
+                for c, after in node.items():
+                    if c and cost + 1 <= most and (id(after) not in to or cost + 1 < to[id(after)][0]):
+                        to[id(after)] = (cost + 1, after)
+                        open_.append(to[id(after)])
+            return to
+
+        states = skip(states)
         for c in _marks(token):
-            to = TABLE.get(ord(c), c)
-            if to is None:  # an ignorable: every state stays
+            shapes = [unicodedata.normalize("NFD", x) for x in _shapes(c)]
+            if not shapes:  # an ignorable: every state stays
                 continue
-            step = {}
-            for node in states.values():
-                for x in unicodedata.normalize("NFD", to):
-                    node = node.get(x) if node is not None else None
-                if node is not None:
-                    step[id(node)] = node
-            if not step:
+            step: dict[int, tuple[float, dict]] = {}
+            for cost, node in states.values():
+                for shape in shapes:
+                    at = node
+                    for x in shape:
+                        at = at.get(x) if at is not None else None
+                    if at is not None:
+                        reach(step, at, cost)
+                if cost + NEARLY <= most:
+                    for x, after in node.items():
+                        if x:
+                            near = any(x in g and any(y in g for y in shapes) for g in NEAR_SHAPES)
+                            reach(step, after, cost + (NEARLY if near else 1))
+                    reach(step, node, cost + 1)  # a letter too many
+            states = skip(step)
+            if not states:
                 return None
-            states = step
-        return next((n[""] for n in states.values() if "" in n), None)
+        ends = [(cost, n[""]) for cost, n in states.values() if "" in n]
+        return min(ends, key=lambda e: (e[0], by_table(e[1]) != by_table(token), e[1]))[1] if ends else None
 
 
 @lru_cache(maxsize=4)
@@ -125,18 +175,27 @@ def _trie(words: tuple[str, ...]) -> Trie:
     return Trie(list(words))
 
 
-def canonical(text: str, trie: Trie, memo: dict[str, str]) -> str:
+def _token(token: str, trie: Trie, most: float) -> str:
+    """A token's spelling by the list, with or without the signs at its ends, else by the table."""
+    got = trie.walk(token, most)
+    if got is None and (inner := token.strip(_SIGNS)) and inner != token:
+        got = trie.walk(inner, most)
+        if got is not None:
+            at = token.index(inner)
+            return by_table(token[:at]) + got + by_table(token[at + len(inner) :])
+    return by_table(token) if got is None else got
+
+
+def canonical(text: str, trie: Trie, memo: dict[str, str], most: float = 0.0) -> str:
     """The consistent form of one text."""
-    if text.isascii():
+    if text.isascii() and not most and not trie.named:
         return " ".join(text.split())
     out = []
     # blanks of every kind first, so that tokens are what shows as tokens
     for token in text.translate(_BLANKS).split():
         got = memo.get(token)
         if got is None:
-            got = trie.walk(token) if len(token) <= MAX_TOKEN else None
-            if got is None:
-                got = by_table(token)
+            got = _token(token, trie, most)
             if len(memo) < 500_000:
                 memo[token] = got
         if got:
@@ -145,6 +204,7 @@ def canonical(text: str, trie: Trie, memo: dict[str, str]) -> str:
 
 
 _BLANKS = {c: " " for c, to in TABLE.items() if to == " "}
+_SIGNS = string.punctuation + "".join(chr(c) for c, to in TABLE.items() if to is None or to in string.punctuation)
 
 
 def canonical_form(words: tuple[str, ...] = ()):
@@ -158,12 +218,12 @@ def canonical_form(words: tuple[str, ...] = ()):
     return form
 
 
-def vocabulary(nodes: DataFrame, most: int = 100_000) -> tuple[str, ...]:
-    """Distinct words of the concept names; a reference list of fixed size, and that is checked."""
+def vocabulary(nodes: DataFrame) -> tuple[str, ...]:
+    """Distinct words of the concept names; a reference list of fixed size, and that is checked against MOST_WORDS."""
     names = nodes.select(F.explode(F.concat(F.array("canonical"), F.coalesce("aliases", F.array().cast("array<string>")))).alias("name"))
-    words = names.where("name is not null").select(F.explode(F.split("name", r"\s+")).alias("w")).distinct().limit(most + 1).collect()
-    if len(words) > most:
-        return ()  # all tokens by table: the same forms
+    words = names.where("name is not null").select(F.explode(F.split("name", r"\s+")).alias("w")).distinct().limit(MOST_WORDS + 1).collect()
+    if len(words) > MOST_WORDS:
+        raise ValueError(f"the reference names have over {MOST_WORDS} words; raise MOST_WORDS if workers can hold them")
     return tuple(sorted(r.w for r in words if r.w))
 
 

@@ -32,6 +32,26 @@ def test_looks_the_same(a, b):
     assert lookalike.canonical(once, trie, {}) == once == lookalike.by_table(b)
 
 
+def test_the_list_decides():
+    trie, none = lookalike.Trie(["lactat", "Ibu", "TNF-α", "đau", "10", "lO"]), lookalike.Trie([])
+    form = lambda x, t=trie, most=0.0: lookalike.canonical(x, t, {}, most)
+    # a shape of several letters, another script kept, signs at the ends
+    assert form("Іactat") == "lactat" and form("Іactat", none) == "Iactat"
+    assert form("Іbu, (Іactat)") == "Ibu, (lactat)" and form("ІZ") == "IZ"
+    assert form("TNF-α") == form("TNF-a") == form("ТNF‑а") == "TNF-α" and form("TNF-α", none) == "TNF-a"
+    assert all(form(form(x)) == form(x) for x in ("Іactat", "TNF-a", "Іbu,", "ІZ", "x" * 100 + "а"))
+    # what costs is taken only within the limit, the cheapest first
+    assert form("1actat") == "1actat" and form("1actat", most=0.5) == "lactat"
+    assert form("IO", most=0.4) == "lO" and form("lactt", most=0.9) == "lactt" and form("lactt", most=1.0) == "lactat"
+    assert form("laxctat", most=1.0) == form("lastat", most=1.0) == "lactat" and trie.walk("", 1.0) is None
+
+
+def test_long_tokens_and_big_lists():
+    words = [f"từ{i}x" for i in range(120_000)] + ["α" * 80]
+    trie = lookalike.Trie(words)
+    assert trie.walk("a" * 80) == "α" * 80 and trie.walk("từ119999х") == "từ119999x"
+
+
 @pytest.mark.parametrize("a, b", [("Ho", "ho"), ("m²", "m2"), ("½", "1/2"), ("sốt", "sổt"), ("136 ng", "136ng"), ("ho.", "ho"), ("µ", "u")])
 def test_looks_different(a, b):
     assert lookalike.by_table(a) != lookalike.by_table(b)
