@@ -249,8 +249,8 @@ def _prepare(cast: DataFrame) -> tuple[DataFrame, Model]:
     return cut(items), Model(sources, types)
 
 
-def consensus(proposals: DataFrame, evidence: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """``item_id, label, confidence, agreement`` of each item, and ``source, votes, reliability, copies`` of each source."""
+def consensus(proposals: DataFrame, evidence: DataFrame, sources: bool = True) -> tuple[DataFrame, DataFrame | None]:
+    """``item_id, label, confidence, agreement`` of each item, and (if asked for) ``source, votes, reliability, copies`` of each source."""
     spark = proposals.sparkSession
     items, model = _prepare(votes(proposals, evidence))
     if model.sources:
@@ -272,5 +272,7 @@ def consensus(proposals: DataFrame, evidence: DataFrame) -> tuple[DataFrame, Dat
     labels = items.mapInArrow(run, "item_id bigint, label string, confidence double, agreement double")
     known = proposals.select("item_id").union(evidence.select("item_id")).where("item_id is not null").select(F.col("item_id").cast("bigint")).distinct()
     found = known.join(labels, "item_id", "left")
+    if not sources:
+        return found, None
     rows = model.reliability(items) if model.sources else []
     return found, spark.createDataFrame(rows, "source string, votes double, reliability double, copies string")

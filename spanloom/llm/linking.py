@@ -13,7 +13,8 @@ accents, punctuation, blanks, word order, disguised characters and added words t
 no concept don't count. Of several names the closest is taken, then the one closest with
 accents, then the least identifier. Texts without a letter, and those no name fits, come
 out as UNMATCHED; a null text is no case. Rows repeated under a span_id give one row, of
-its last delivery. Texts are made distinct before any matching.
+its last delivery. Texts are made distinct before any matching. A list of over ``MOST_NAMES``
+names is taken in blocks, and the closest name of all blocks stays.
 """
 
 from __future__ import annotations
@@ -21,10 +22,12 @@ from __future__ import annotations
 import math
 import re
 import unicodedata
+import uuid
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import lru_cache, reduce
 
 import pandas as pd
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -32,8 +35,8 @@ from spanloom.llm.lookalike import by_table
 
 SLIPS = 2
 ONTOLOGY = {"CHẨN_ĐOÁN": "WHO_ICD10_2019", "THUỐC": "RXNORM_CPC_2026_07"}
-#: The reference list is held by each worker; it is of fixed size, and that is checked.
-MOST_NAMES = 200_000
+#: Names of the reference list that workers hold at once.
+MOST_NAMES = 100_000
 SHORT = 5
 # Whole phrases that are taken off at either end, without accents.
 BEFORE = ["theo doi", "nghi ngo", "nghi", "td", "kha nang", "k/n", "kn", "bi", "mac", "co the", "chua loai tru", "chan doan", "cd", "r/o", "thuoc", "vien", "ong", "goi", "chai", "inj", "tab", "cap", "siro", "probable", "possible", "suspected"]
@@ -145,15 +148,16 @@ def typed_keys(w: str) -> set[str]:
     return keys
 
 
-def _names(nodes: DataFrame) -> list[tuple[str, str, str]]:
-    """Ontology, identifier, name of every listed name; the list has a fixed size, which is checked."""
+def _blocks(nodes: DataFrame) -> Iterator[dict[str, list[tuple[str, str]]]]:
+    """Identifier and name of every listed name by ontology, MOST_NAMES at most at a time, about."""
     names = nodes.where("identifier is not null").select(
         "ontology", "identifier", F.explode(F.concat(F.array("canonical"), F.coalesce("aliases", F.array().cast("array<string>")))).alias("name")
     )
-    rows = names.where("name is not null").distinct().limit(MOST_NAMES + 1).collect()
-    if len(rows) > MOST_NAMES:
-        raise ValueError(f"the reference list has over {MOST_NAMES} names; raise MOST_NAMES if workers can hold it")
-    return sorted((r.ontology, r.identifier, r.name) for r in rows if squeeze(plain(r.name)))
+    names = names.where("name is not null").distinct()
+    blocks = -(-names.count() // MOST_NAMES) or 1
+    for i in range(blocks):
+        own = names.where(F.pmod(F.xxhash64("identifier", "name"), F.lit(blocks)) == i).collect()
+        yield {o: sorted((r.identifier, r.name) for r in own if r.ontology == o and squeeze(plain(r.name))) for o in ONTOLOGY.values()}
 
 
 class NameIndex:
@@ -163,19 +167,39 @@ class NameIndex:
         self.names = [(i, squeeze(plain(n)), accented(n)) for i, n in names]
         self.exact: dict[str, list[int]] = {}
         self.whole: dict[str, list[int]] = {}
-        self.sorted: dict[str, list[int]] = {}
-        self.word: dict[str, list[int]] = {}
+        self.word: dict[str, int] = {}
+        self.holders: dict[tuple[int, str], list[int]] = {}
         for k, (_, p, _) in enumerate(self.names):
+            words = p.split()
             self.exact.setdefault(p, []).append(k)
             self.whole.setdefault(p.replace(" ", ""), []).append(k)
-            self.sorted.setdefault(" ".join(sorted(p.split())), []).append(k)
-            for w in set(p.split()):
-                self.word.setdefault(w, []).append(k)
+            for w in set(words):
+                self.word[w] = self.word.get(w, 0) + 1
+                self.holders.setdefault((len(words), w), []).append(k)
         n = len(self.names)
-        self.idf = {w: math.log((1 + n) / (1 + len(x))) + 1 for w, x in self.word.items()}
-        self.norm = [math.sqrt(sum(self.idf[w] ** 2 for w in p.split())) for _, p, _ in self.names]
+        self.idf = {w: math.log((1 + n) / (1 + x)) + 1 for w, x in self.word.items()}
+        self.norm = [sum(self.idf[w] ** 2 for w in set(p.split())) for _, p, _ in self.names]
         self.keys = frozenset(self.exact)
 
+    def _ranked(self, form: str, words: list[str], repaired: dict[str, list[tuple[str, int]]]) -> list[int]:
+        """Names that may be within SLIPS, by soft TF-IDF of the repaired words.
+
+        Either the letters without blanks are near, or there are as many words, each near one of the name.
+        """
+        joined = form.replace(" ", "")
+        score = {k: 2.0 - d / (len(joined) + 1) for w, d in [(joined, 0), *repaired.get(joined, ())] for k in self.whole.get(w, ())}
+        near = [dict(reversed([(w, 0), *repaired.get(w, ())])) for w in words]
+        each = [{k for w in options for k in self.holders.get((len(words), w), ())} if len(options) < 50 else None for options in near]
+        known = [x for x in each if x is not None]
+        names = min(known, key=len) if known else {k for w in near[0] for k in self.holders.get((len(words), w), ())}
+        for k in names:
+            own = set(self.names[k][1].split())
+            if all(not own.isdisjoint(options) for options in near):
+                close = {w: max((1 - options[w] / (len(w) + 1) for options in near if w in options), default=None) for w in own}
+                if None not in close.values():
+                    score.setdefault(k, sum(self.idf[w] ** 2 * x for w, x in close.items()) / self.norm[k])
+        return sorted(score, key=lambda k: (-score[k], k))
+
     def _slips(self, form: str, words: list[str], name: int) -> int:
         """Fewest slips: blanks aside, or word by word in any order."""
         p = self.names[name][1]
@@ -195,42 +219,33 @@ class NameIndex:
                 d = min(d, total)
         return d
 
-    def find(self, text: str, repaired: dict[str, list[tuple[str, int]]]) -> str | None:
-        forms = core(text, self.keys)
-        best: tuple | None = None
+    def find(self, text: str, repaired: dict[str, list[tuple[str, int]]]) -> tuple[int, int, int, str] | None:
+        """The closest name: slips, number of the form (of those without slips), slips with accents, identifier."""
+        best: tuple[int, int, int, str] | None = None
         typed = accented(text)
-        for form in forms:
+        for n, form in enumerate(core(text, self.keys)):
             words = form.split()
-            score: dict[int, float] = {}
-            for k in self.exact.get(form, ()):
-                score[k] = 9.0
-            if not score:
-                for k in self.sorted.get(" ".join(sorted(words)), ()):
-                    score[k] = 9.0
-                for w, d in [(form.replace(" ", ""), 0), *repaired.get(form.replace(" ", ""), ())]:
-                    for k in self.whole.get(w, ()):
-                        score[k] = 8.0 - d
-                soft: dict[int, float] = {}
-                # soft TF-IDF: rare words first; common ones only add to names that are in already
-                near = [((w, 0),) if w in self.word else tuple(repaired.get(w, ())) for w in words]
-                for options in sorted(near, key=lambda o: min((len(self.word[w]) for w, _ in o if w in self.word), default=0)):
-                    for w, d in options:
-                        for k in self.word.get(w, ()):
-                            soft[k] = soft.get(k, 0.0) + self.idf[w] ** 2 * (1 - d / (len(w) + 1))
-                for k, x in soft.items():
-                    if abs(len(self.names[k][1].replace(" ", "")) - len(form.replace(" ", ""))) <= SLIPS:
-                        score.setdefault(k, x / self.norm[k] ** 2)
-            for k in sorted(score, key=lambda k: (-score[k], k)):
-                if score[k] < 0.2:
-                    break
+            for k in self.exact[form] if form in self.exact else self._ranked(form, words, repaired):
                 d = self._slips(form, words, k)
                 if d <= SLIPS:
                     i, _, own = self.names[k]
-                    got = (d, distance(accented_form(typed, form), own, 12), i)
+                    got = (d, 0 if d else n, distance(accented_form(typed, form), own, 12), i)
                     best = got if best is None else min(best, got)
             if best is not None and best[0] == 0:
                 break
-        return best[2] if best else None
+        return best
+
+
+_INDEXES: dict[str, dict[str, NameIndex]] = {}
+
+
+def _indexes(names: Broadcast) -> dict[str, NameIndex]:
+    """The index of each type, made once by a worker."""
+    key, by = names.value
+    if key not in _INDEXES:
+        _INDEXES.clear()
+        _INDEXES[key] = {t: NameIndex(by[o]) for t, o in ONTOLOGY.items()}
+    return _INDEXES[key]
 
 
 def accented_form(typed: str, form: str) -> str:
@@ -239,11 +254,11 @@ def accented_form(typed: str, form: str) -> str:
     return typed[at : at + len(form)] if at >= 0 else typed
 
 
-def _repairs(tokens: DataFrame, names: list[tuple[str, str, str]]) -> DataFrame:
-    """``token, near``: for each distinct token, the words of the vocabulary within two slips."""
+def _repairs(tokens: DataFrame, by: dict[str, list[tuple[str, str]]]) -> DataFrame:
+    """``token, near``: for each distinct token, the other words of the vocabulary within two slips."""
     spark = tokens.sparkSession
-    words = {w for _, _, n in names for p in (squeeze(plain(n)),) for w in (*p.split(), p.replace(" ", ""))}
-    listed = spark.createDataFrame([(k, w) for w in sorted(words) for k in sorted(listed_keys(w))], "key string, word string")
+    words = {w for names in by.values() for _, n in names for p in (squeeze(plain(n)),) for w in (*p.split(), p.replace(" ", ""))}
+    listed = spark.createDataFrame(pd.DataFrame([(k, w) for w in sorted(words) for k in sorted(listed_keys(w))], columns=["key", "word"]), "key string, word string")
 
     def keys(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -251,7 +266,7 @@ def _repairs(tokens: DataFrame, names: list[tuple[str, str, str]]) -> DataFrame:
             yield pd.DataFrame(rows, columns=["key", "token"])
 
     typed = tokens.mapInPandas(keys, "key string, token string")
-    pairs = typed.join(listed, "key").select("token", "word").distinct()
+    pairs = typed.join(listed, "key").where("token <> word").select("token", "word").distinct()
 
     @F.pandas_udf("int")
     def slips(a: pd.Series, b: pd.Series) -> pd.Series:
@@ -261,50 +276,58 @@ def _repairs(tokens: DataFrame, names: list[tuple[str, str, str]]) -> DataFrame:
     return near.groupBy("token").agg(F.collect_list(F.struct("word", "d")).alias("near"))
 
 
-def link(spans: DataFrame, nodes: DataFrame) -> DataFrame:
-    """``span_id, identifier`` of each coded entity without codes, UNMATCHED where no name fits."""
-    names = _names(nodes)
-    by = {o: [(i, n) for q, i, n in names if q == o] for o in ONTOLOGY.values()}
+def cases(spans: DataFrame) -> DataFrame:
+    """``span_id, text, type`` of each coded entity without codes, as last delivered."""
     coded = spans.where(F.col("span_id").isNotNull() & F.col("type").isin(*ONTOLOGY) & F.col("text").isNotNull())
     coded = coded.where(F.col("candidates").isNull() | (F.size("candidates") == 0))
-    # the last delivery of a span; each span has few
     order = F.struct("ingested_at", "extracted_at", "text", "type") if "ingested_at" in spans.columns else F.struct("text", "type")
-    cases = coded.groupBy("span_id").agg(F.max_by(F.struct("text", "type"), order).alias("x")).select(F.col("span_id").cast("bigint"), "x.text", "x.type")
-    texts = cases.select("text", "type").distinct()
+    return coded.groupBy("span_id").agg(F.max_by(F.struct("text", "type"), order).alias("x")).select(F.col("span_id").cast("bigint"), "x.text", "x.type")
 
-    def unknown(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        index = {t: NameIndex(by[o]) for t, o in ONTOLOGY.items()}
+
+def _closest(texts: DataFrame, by: dict[str, list[tuple[str, str]]]) -> DataFrame:
+    """``text, type, found`` of texts that a name of the block fits; ``found`` is the smaller the closer."""
+    names = texts.sparkSession.sparkContext.broadcast((uuid.uuid4().hex, by))
+
+    def split(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
+            index = _indexes(names)
             rows = []
             for text, kind in zip(pdf["text"], pdf["type"]):
-                own = index[kind]
-                forms = core(text, own.keys)
-                tokens: set[str] = set()
-                if not any(f in own.exact for f in forms):
-                    tokens = {t for f in forms for t in (*f.split(), f.replace(" ", "")) if t not in own.word and t not in own.whole}
-                rows.append((text, kind, sorted(tokens)))
-            yield pd.DataFrame(rows, columns=["text", "type", "tokens"])
-
-    split = texts.mapInPandas(unknown, "text string, type string, tokens array<string>")
-    each = split.select("text", "type", F.explode("tokens").alias("token"))
-    near = _repairs(each.select("token").distinct(), names)
+                forms = core(text, index[kind].keys)
+                if any(f in index[kind].exact for f in forms):
+                    continue
+                rows += [(text, kind, t) for t in sorted({t for f in forms for t in (*f.split(), f.replace(" ", ""))})]
+            yield pd.DataFrame(rows, columns=["text", "type", "token"])
+
+    each = texts.mapInPandas(split, "text string, type string, token string")
+    near = _repairs(each.select("token").distinct(), by)
     found = each.join(near, "token").groupBy("text", "type").agg(F.collect_list(F.struct("token", "near")).alias("repaired"))
     ready = texts.join(found, ["text", "type"], "left")
 
     def rank(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        index = {t: NameIndex(by[o]) for t, o in ONTOLOGY.items()}
         for pdf in batches:
+            index = _indexes(names)
             rows = []
             for text, kind, got in zip(pdf["text"], pdf["type"], pdf["repaired"]):
                 repaired = {} if got is None else {r["token"]: [(x["word"], x["d"]) for x in r["near"]] for r in got}
-                rows.append((text, kind, index[kind].find(text, repaired) or "UNMATCHED"))
-            yield pd.DataFrame(rows, columns=["text", "type", "identifier"])
+                if x := index[kind].find(text, repaired):
+                    rows.append((text, kind, dict(zip(("slips", "form", "accents", "identifier"), x))))
+            yield pd.DataFrame(rows, columns=["text", "type", "found"])
+
+    return ready.mapInPandas(rank, "text string, type string, found struct<slips:int,form:int,accents:int,identifier:string>")
 
-    ranked = ready.mapInPandas(rank, "text string, type string, identifier string")
-    return cases.join(ranked, ["text", "type"]).select("span_id", "identifier")
+
+def link(spans: DataFrame, nodes: DataFrame) -> DataFrame:
+    """``span_id, identifier`` of each coded entity without codes, UNMATCHED where no name fits."""
+    own = cases(spans)
+    texts = own.select("text", "type").distinct()
+    blocks = [_closest(texts, by) for by in _blocks(nodes)]
+    found = blocks[0]
+    if len(blocks) > 1:
+        found = reduce(DataFrame.unionByName, blocks).groupBy("text", "type").agg(F.min("found").alias("found"))
+    return own.join(found, ["text", "type"], "left").select("span_id", F.coalesce("found.identifier", F.lit("UNMATCHED")).alias("identifier"))
 
 
 def unmatched(linked: DataFrame, spans: DataFrame) -> DataFrame:
-    """Texts that no listed name fits, with how many entities have them."""
-    texts = spans.where("text is not null").groupBy("span_id").agg(F.max("text").alias("text"))
-    return linked.where("identifier = 'UNMATCHED'").join(texts, "span_id").groupBy("text").agg(F.count("*").alias("entities"))
+    """Texts that no listed name fits, as last delivered, with how many entities have them."""
+    return linked.where("identifier = 'UNMATCHED'").join(cases(spans), "span_id").groupBy("text").agg(F.count("*").alias("entities"))

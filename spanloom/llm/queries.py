@@ -37,11 +37,11 @@ def p3_amount(spark, d):
 
 
 def p4_found(spark, d):
-    return consensus.consensus(table(spark, d, "proposals"), table(spark, d, "evidence"))[0].select("item_id", "label")
+    return consensus.consensus(table(spark, d, "proposals"), table(spark, d, "evidence"), sources=False)[0].select("item_id", "label")
 
 
 def p4_agreement(spark, d):
-    return consensus.consensus(table(spark, d, "proposals"), table(spark, d, "evidence"))[0]
+    return consensus.consensus(table(spark, d, "proposals"), table(spark, d, "evidence"), sources=False)[0]
 
 
 def p4_reliability(spark, d):

@@ -105,6 +105,17 @@ def test_keys_miss_nothing_within_two_slips():
             assert linking.listed_keys(w) & linking.typed_keys(x), (w, x)
 
 
+def test_links_of_a_list_in_blocks(spark, linked, monkeypatch):
+    monkeypatch.setattr(linking, "MOST_NAMES", 2)
+    rows = [(i, t, k, None, "a") for i, (t, k) in enumerate(sorted(linked))] + [(0, "cũ", "THUỐC", None, "0")]
+    spans = spark.createDataFrame(rows, "span_id bigint, text string, type string, candidates array<string>, ingested_at string").withColumn("extracted_at", F.col("ingested_at"))
+    nodes = spark.createDataFrame([(a, b, c, d) for a, b, c, d in NAMES], "identifier string, ontology string, canonical string, aliases array<string>")
+    got = {r.span_id: r.identifier for r in linking.link(spans, nodes).collect()}
+    assert got == {i: linked[x] for i, x in enumerate(sorted(linked))}
+    shown = {r.text: r.entities for r in linking.unmatched(linking.link(spans, nodes), spans).collect()}
+    assert shown == {t: sum(1 for x in linked if x[0] == t and linked[x] == "UNMATCHED") for (t, _), v in linked.items() if v == "UNMATCHED"}
+
+
 # ---- 3 ----
 
 
