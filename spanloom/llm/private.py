@@ -33,8 +33,8 @@ phùng trương tạ bế phí ninh vi giáp âu lục khuất trưng nhữ đà
 la lã lại lương lưu mã nghiêm nông ông phó quách quan sầm thái thạch thiều tiêu tôn tống triệu trà từ văn vương viên
 ứng uông tăng cầm cấn diệp giang hàn khổng khúc kim lò lỗ lữ mẫn ma mông nhan nhâm nghị phương sử tần thang thi thẩm
 tòng trang trình trử tường ung vàng xa yên""".split()
-GIVEN = """quang thoại khắc hữu bảo diệu thị văn tiến ngọc như quýnh hanhu dực uyển sử bích nhạn khiêu oanh kỳ lãm chiêu ngân
-tường trinhly thuyên vọng duyệt lộ đức minh anh hùng dũng tuấn hải long nam sơn phúc lộc thọ khánh hoa lan huệ cúc
+GIVEN = """quang thoại khắc hữu bảo diệu thị văn tiến ngọc như dực uyển sử bích nhạn khiêu oanh kỳ lãm chiêu ngân
+tường thuyên vọng duyệt lộ đức minh anh hùng dũng tuấn hải long nam sơn phúc lộc thọ khánh hoa lan huệ cúc
 trang thảo linh hương hạnh hiền hòa thu thủy xuân hạ đông mai đào liên nga nhung phương quỳnh vân yến tâm thanh
 thành thắng trí trung tùng việt vinh xuyên đình công gia kim mạnh thế viết xuân""".split()
 # Words after which a name, a personal number or an address stands.
@@ -45,7 +45,7 @@ ID_CUES = """cccd|cmnd|cmt|căn cước|định danh|giấy tờ tùy thân|gi
 insurance no|insurance card|bhyt|bảo hiểm y tế|thẻ bảo hiểm""".replace("\n", "|").split("|")
 ADDRESS_CUES = """đc|địa chỉ|nhà ở|sống ở|ngụ tại|cư trú|thường trú|tạm trú|trú tại|số nhà|nhà số|address|lives at|living at|resides at
 đường|phố|ngõ|ngách|hẻm|đ.|street|st.|road|rd.|lane|avenue|ave.|close|drive|court""".replace("\n", "|").split("|")
-NOT_NAMES = {"cccd", "cmnd", "cmt", "bhyt", "đt", "id", "tel", "zalo", "email", "sđt", "bn", "bs", "px", "spo", "crp", "ha", "bp", "hr", "tp", "kt", "pt", "đc", "icu", "nkq", "vw", "xn", "qx", "zt"}
+NOT_NAMES = {"cccd", "cmnd", "cmt", "bhyt", "đt", "id", "tel", "zalo", "email", "sđt", "bn", "bs", "px", "spo", "crp", "ha", "bp", "hr", "tp", "kt", "pt", "đc", "icu", "nkq", "xn"}
 NOT_FIRST = {"cho", "ngưng", "máy", "nội", "dấu", "started", "theo", "tiền", "bệnh", "chẩn", "lúc", "không", "khám", "history", "impression", "exam", "lot", "lô", "mã", "đơn", "seen", "family", "huyết", "nước", "người", "đang", "vào", "sau", "ghi", "tái", "gửi", "hộp", "gọi", "số", "the", "no"}
 DIGITS = {w: d for d, ws in enumerate(("không zero", "một mốt one", "hai two", "ba three", "bốn tư four", "năm lăm five", "sáu six", "bảy bẩy seven", "tám eight", "chín nine")) for w in ws.split()}
 
@@ -54,6 +54,7 @@ INITIAL = rf"[{UPPER}]\."
 RUN = re.compile(rf"{CAP}(?: (?:{INITIAL}|{CAP}))*")
 COMMA_GIVEN = re.compile(rf", ({CAP}(?: {INITIAL})?)(?![^\W\d_]| {CAP}| ?\d)")
 BEFORE = re.compile(rf"(?<!\w)(?:{CAP}(?: (?:{INITIAL}|{CAP}))+|{CAP}, {CAP}(?: {INITIAL})?)$")
+AFTER_CAP = re.compile(rf"(?<![^\W\d_]){CAP} $")
 RELATION = re.compile(r"(?:con|cháu|vợ|chồng|bố|cha|mẹ|em|anh|chị|son|daughter|wife|husband|mother|father)\b")
 WORDS = re.compile(r"[^\W\d_]+(?: [^\W\d_]+)*")
 AFTER_CUE = re.compile(r"\.?[ :]{1,3}")
@@ -64,7 +65,7 @@ ID_AT = re.compile(rf"(?:[ .:#\-]|số|no\.?|number)*[ :]({ID_VALUE})", re.I)
 ID_FREE = re.compile(r"(?<![\w.])(?:[A-Z]{2}[ .]?\d(?:[ .]?\d){12}|[A-Z]\d{8})(?!\w|[.]\d)")
 ID_DASH = re.compile(rf" ?[\-–] ?({ID_VALUE})", re.I)
 HOUSE = r"(?<![\w/.,:])\d{1,5}[A-Da-d]?(?:/\d{1,4}[A-Da-d]?)*"
-PLACE = rf"{CAP}(?: (?:{CAP}|\d{{1,3}}(?![\w/:]))){{0,4}}"
+PLACE = rf"{CAP}(?: (?:{CAP}|\d{{1,3}}(?![\w/:])))*"
 STREET = r"(?:đường|phố|ngõ|ngách|hẻm|kiệt|Đ\.|đ\.|Ph\.)"
 UNIT = r"(?:phường|xã|thị trấn|ấp|thôn|khóm|khu phố|P\.|X\.|TT\.|quận|huyện|thị xã|thành phố|tỉnh|Q\.|H\.|TX\.|TP\.?|T\.)"
 ADDRESS = re.compile(rf"{HOUSE},? (?:({STREET}) ?)?{PLACE}((?:,| -|-) ?(?:{UNIT} ?(?:{PLACE}|\d{{1,2}}(?![\w/:]))|{PLACE}(?! ?\d)))*")
@@ -258,13 +259,13 @@ class Finder:
                 at = a
                 if not caseless:
                     got = self._run(line, at, False)
-                    if got and _family_name(line[slice(*got)]):
+                    if got and _family_name(line[slice(*got)], bool(AFTER_CAP.search(line, 0, at))):
                         out.append(got)
                     continue
             if at is not None and caseless and (m := WORDS.match(line, at)):
                 words = m[0].split(" ")
                 n = 0
-                while n < len(words) and words[n].lower() in (FAMILY if n == 0 else GIVEN_FORMS) and n < 5:
+                while n < len(words) and words[n].lower() in (FAMILY if n == 0 else GIVEN_FORMS):
                     n += 1
                 if n > 1:
                     out.append((at, at + len(" ".join(words[:n]))))
@@ -285,7 +286,7 @@ class Finder:
             return None
         words = m[0].split(" ")
         n = 0
-        while n < len(words) and words[n].lower() not in NOT_NAMES and n < 6:
+        while n < len(words) and words[n].lower() not in NOT_NAMES:
             n += 1
         words = words[:n]
         if not words or cue and words[0].lower() in NOT_FIRST:
@@ -298,9 +299,12 @@ class Finder:
         return at, end
 
 
-def _family_name(run: str) -> bool:
-    words = run.lower().split(" ")
-    return len(words) > 1 and words[0] in FAMILY and all(w in LEXICON for w in words[1:2]) and len(words) <= 5
+def _family_name(run: str, inside: bool) -> bool:
+    """A family name and a word more that is listed as a given name, or spelled as one where the run begins with the family name."""
+    words = run.split(" ")
+    first = words[1] if len(words) > 1 else ""
+    spelled = not inside and len(first) > 1 and first[1:].islower() and first.lower() not in NOT_FIRST and first.lower() not in NAME_CUES
+    return words[0].lower() in FAMILY and (first.lower() in LEXICON or spelled)
 
 
 def _widest(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:

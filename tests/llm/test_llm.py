@@ -356,3 +356,12 @@ def test_redaction_keeps_the_rest(spark):
     assert [r.text for r in private.redact_private(df).orderBy("doc_id").collect()] == ["ĐT [PHONE];", None, ""]
     assert private.find_private(df).select("doc_id", "span_start", "span_end", "kind").collect() == [(0, 3, 13, "PHONE")]
     assert private.find_private(df.where(F.lit(False))).count() == 0
+
+
+@pytest.mark.parametrize("text, name", [
+    ("BN Nguyễn Thị Kim Ngân Hoàng Anh Thư Lan Chi vào viện", "Nguyễn Thị Kim Ngân Hoàng Anh Thư Lan Chi"), ("theo lời Kowalski, vào lúc 3 giờ", "Kowalski"),
+    ("Trần Zelkova khai đau bụng", "Trần Zelkova"), ("Theo dõi Viêm Mạc Treo Trên Thể Khô", None), ("Lê CRP tăng", None),
+])
+def test_names_of_any_length_and_spelling(text, name):
+    got = [text[a:b] for a, b, k in private.Finder()(text) if k == "NAME"]
+    assert got == ([name] if name else [])
