@@ -10,7 +10,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from spanloom.functions import text as T
-from spanloom.operators import evaluate, generate, learn, merge, quality, retrieve, sample, spans, votes
+from spanloom.operators import evaluate, generate, learn, merge, quality, retrieve, sample, scope, spans, votes
 from spanloom.session import table
 
 RULES, MODELS = ("rule", "lex_core"), ("tok_alpha", "llm_wide")
@@ -150,7 +150,7 @@ def numeric_pairs(spark, d):
 
 @query
 def context_assertions(spark, d):
-    return generate.assertions(_spans(spark, d), _docs(spark, d), evaluate.ASSERTED)
+    return scope.assertions(_spans(spark, d), _docs(spark, d), evaluate.ASSERTED, evaluate.CODED, "TRIỆU_CHỨNG")
 
 
 @query

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from spanloom.functions import text as T
-from spanloom.operators import evaluate, generate, learn, quality, retrieve, sample, votes
+from spanloom.operators import evaluate, generate, learn, quality, retrieve, sample, scope, votes
 from spanloom.sources import files
 
 
@@ -90,12 +90,43 @@ def test_numeric_pairs(spark):
     assert sorted((t[r.name_start : r.name_end], t[r.value_start : r.value_end]) for r in got.collect()) == [("glucose", "120 mg/dL"), ("neutrophil", "80")]
 
 
-def test_assertion_scope(spark):
-    t = "Khó chịu không do chấn thương, không đặc hiệu. Hiện không đau ngực nhưng có khó thở.\nMẹ đã tử vong\nNgười nhà nhận thấy bệnh nhân mất định hướng\nTIỀN SỬ:\n- ngất xỉu"
-    at = lambda x: (0, t.index(x), t.index(x) + len(x), "S")
-    s = spark.createDataFrame([at(x) for x in ("đau ngực", "khó thở", "tử vong", "mất định hướng", "ngất xỉu")], "record_id bigint, start int, `end` int, type string")
-    got = {t[r.start : r.end]: r.assertions for r in generate.assertions(s, docs(spark, t), ("S",)).collect()}
-    assert got == {"đau ngực": ["isNegated"], "khó thở": [], "tử vong": ["isFamily"], "mất định hướng": [], "ngất xỉu": ["isHistorical"]}
+@pytest.mark.parametrize("text, pairs", [
+    ("bổ sung kali 80\nkali: 3,5 - 5.0 mmol/L", [("kali", "3,5 - 5.0 mmol/L")]), ("rr 14 spo2", []), ("- 14 spo2; spo2 -2,5", [("spo2", "14"), ("spo2", "-2,5")]),
+    ("kali  máu là 4 g", [("kali  máu", "4")]), ("KALI máu = 4.2→5", []), ("kali 4a", []), ("kali" + " " * 60 + "4", []), ("kali 4 %", [("kali", "4 %")]), ("", []),
+])
+def test_numeric_pairs_of_lines(spark, text, pairs):
+    got = generate.numeric_pairs(docs(spark, text, None), ["kali", "kali máu", "spo2", None, ""]).collect()
+    assert sorted((text[r.name_start : r.name_end], text[r.value_start : r.value_end]) for r in got) == sorted(pairs)
+
+
+def test_dictionary_spans_before_a_capital(spark):
+    t = "chuyển dạBệnh sử: chuyển dạng"
+    assert [(r.start, r.end) for r in generate.dictionary_spans(docs(spark, t), ["chuyển dạ"]).collect()] == [(0, 9)]
+
+
+def said(spark, text, mentions):
+    """What is said of each mention (text, type, and which one of them)."""
+    at = [(0, (i := [m for m in range(len(text)) if text.startswith(x, m)][n]), i + len(x), k) for x, k, n in mentions]
+    df = spark.createDataFrame(at, "record_id bigint, start int, `end` int, type string")
+    got = scope.assertions(df, docs(spark, text, None), ("S", "D", "T"), ("D", "T"), "S").collect()
+    return {(text[r.start : r.end], r.type): r.assertions for r in got}
+
+
+@pytest.mark.parametrize("text, mentions", [
+    ("Khó chịu không do chấn thương, không đặc hiệu. Hiện không đau ngực nhưng có khó thở.", {"đau ngực": ["isNegated"], "khó thở": [], "không do chấn thương, không đặc hiệu": []}),
+    ("Mẹ đã tử vong\nNgười nhà nhận thấy bệnh nhân mất định hướng\nbối cảnh ho", {"tử vong": ["isFamily"], "mất định hướng": [], "ho": []}),
+    ("1. Tiền sử bệnh\n- ngất xỉu\n\n2. Bệnh sử hiện tại\n- khó thở", {"ngất xỉu": ["isHistorical"], "khó thở": []}),
+    ("Tiền sử gia đình: phủ nhận đái tháo đường", {"đái tháo đường": ["isHistorical", "isFamily", "isNegated"]}),
+    ("không (sốt), chưa  ho; âm tính lao. không khó nuốt", {"sốt": [], "ho": ["isNegated"], "lao": ["isNegated"], "không khó nuốt": ["isNegated"]}),
+])
+def test_assertion_scope(spark, text, mentions):
+    assert said(spark, text, [(m, "S", 0) for m in mentions]) == {(m, "S"): v for m, v in mentions.items()}
+
+
+def test_history_of_coded_types_and_indications(spark):
+    t = "Đã từng điều trị đau lưng bằng aspirin. Đỡ\nThuốc trước nhập viện:\n- amlodipin; lao phổi\nBệnh sử hiện tại: dùng digoxin. Ho"
+    want = {("đau lưng", "S"): [], ("aspirin", "T"): ["isHistorical"], ("amlodipin", "T"): ["isHistorical"], ("lao phổi", "D"): ["isHistorical"], ("digoxin", "T"): [], ("Ho", "S"): [], ("Đỡ", "X"): []}
+    assert said(spark, t, [(m, k, 0) for m, k in want]) == want
 
 
 def test_violations_and_quarantine(spark):
