@@ -127,8 +127,9 @@ def prefix_utility(ranked: DataFrame, most: int = 10) -> DataFrame:
 
 def reviewer_agreement(a: DataFrame, b: DataFrame) -> DataFrame:
     """One row: span F1 of two reviewers, and their mean assertion Jaccard over keys of either (a missing side scores 0)."""
-    x = a.dropna(subset=KEY).groupBy(*KEY).agg(F.array_distinct(F.flatten(F.collect_list(F.coalesce("assertions", F.array().cast("array<string>"))))).alias("x"))
-    y = b.dropna(subset=KEY).groupBy(*KEY).agg(F.array_distinct(F.flatten(F.collect_list(F.coalesce("assertions", F.array().cast("array<string>"))))).alias("y"))
+    # a key that was delivered very often has few different assertions
+    each = lambda s: s.dropna(subset=KEY).select(*KEY, F.explode_outer("assertions").alias("z")).distinct()
+    x, y = (each(s).groupBy(*KEY).agg(F.collect_list("z").alias(n)) for s, n in ((a, "x"), (b, "y")))
     j = x.join(y, KEY, "full_outer")
     both = F.col("x").isNotNull() & F.col("y").isNotNull()
     return j.agg(

@@ -13,6 +13,9 @@ from pyspark.sql import functions as F
 from spanloom.functions.text import hash_int
 from spanloom.session import cut
 
+#: Numbers in the tables of all sources that the driver holds.
+CELLS = 4_000_000
+
 
 def dawid_skene(votes: DataFrame, rounds: int = 500, smoothing: float = 1.0, weights: dict[str, float] | None = None, anchors: DataFrame | None = None, dependence: float = 4.0, tolerance: float = 1e-8) -> DataFrame:
     """``item_id, label, probability``: the likeliest label by expectation maximisation over source confusion tables.
@@ -27,8 +30,10 @@ def dawid_skene(votes: DataFrame, rounds: int = 500, smoothing: float = 1.0, wei
 
     v = cut(votes.dropna(subset=["item_id", "source", "type"]).select("item_id", "source", F.col("type").alias("vote")).distinct())
     known = (anchors.dropna(subset=["item_id", "type"]) if anchors is not None else v.limit(0).withColumnRenamed("vote", "type")).groupBy("item_id").agg(F.min("type").alias("known"))
-    names = sorted(r.vote for r in v.select("vote").union(known.select("known")).distinct().collect())  # the types
-    sources = sorted(r.source for r in v.select("source").distinct().collect())
+    names = sorted(r.vote for r in v.select("vote").union(known.select("known")).distinct().limit(CELLS + 1).collect())  # the types
+    sources = sorted(r.source for r in v.select("source").distinct().limit(CELLS + 1).collect())
+    if len(sources) * max(len(names), 1) ** 2 > CELLS:
+        raise ValueError(f"{len(sources)} sources and {len(names)} types; their tables would have over {CELLS} cells")
     if not names:
         return v.select("item_id", F.col("vote").alias("label"), F.lit(1.0).alias("probability"))
     place = lambda xs, c: F.coalesce(F.array_position(F.array(*map(F.lit, xs)), F.col(c)).cast("int"), F.lit(0)) - 1

@@ -262,6 +262,8 @@ def two_pass(rows: DataFrame, first: DataFrame, second: DataFrame, key: str, def
 
 
 def passage_means(scores: DataFrame, passage: str, value: str) -> DataFrame:
-    """One row: the mean over passages of the means within them, so that a passage found often counts once."""
-    m = scores.dropna(subset=[passage, value]).groupBy(passage).agg(F.avg(value).alias("m"), F.count("*").alias("n"))
+    """One row: the mean over passages of the means within them, so that a passage found often counts once. ``times``, if there, says how often a row stands."""
+    own = scores.dropna(subset=[passage, value])
+    times = F.col("times") if "times" in scores.columns else F.lit(1)
+    m = own.groupBy(passage).agg((F.sum(F.col(value) * times) / F.sum(times)).alias("m"), F.sum(times).alias("n"))
     return m.agg(F.count("*").alias("passages"), F.sum("n").alias("rows"), F.round(F.avg("m"), 6).alias("mean"))

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -38,12 +42,41 @@ def violations(spans: DataFrame, docs: DataFrame) -> DataFrame:
 
 
 def order_violations(spans: DataFrame) -> DataFrame:
-    """Per record: spans out of order by position, and keys that stand more than once."""
+    """Per record: spans out of order by position, and keys that stand more than once.
+
+    Neighbours are compared within sorted ranges of (record, ord, span_id, position), and the ends of ranges with one another, so a
+    record of very many spans is spread over tasks.
+    """
     s = spans.where("record_id is not null and start is not null and `end` is not null and ord is not null")
-    w = Window.partitionBy("record_id").orderBy("ord", "span_id", "start", "end")
-    before = F.lag(F.struct("start", "end")).over(w)
-    p = s.withColumn("late", F.coalesce((before > F.struct("start", "end")), F.lit(False)).cast("int"))
-    late = p.groupBy("record_id").agg(F.sum("late").alias("out_of_order"), F.count("*").alias("spans"))
+    order = ["record_id", "ord", "span_id", "start", "end"]
+
+    def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        kept: list[list] = []  # record, spans, late ones, first and last position
+        for pdf in batches:
+            record, at = pdf["record_id"].to_numpy(), list(zip(pdf["start"].tolist(), pdf["end"].tolist()))
+            a, b = pdf["start"].to_numpy(), pdf["end"].to_numpy()
+            late = np.zeros(len(pdf), bool)
+            late[1:] = (record[1:] == record[:-1]) & ((a[:-1] > a[1:]) | (a[:-1] == a[1:]) & (b[:-1] > b[1:]))
+            cut = np.flatnonzero(np.diff(record, prepend=record[:1] - 1))
+            for i, j in zip(cut.tolist(), [*cut[1:].tolist(), len(pdf)]):
+                if kept and kept[-1][0] == record[i]:
+                    kept[-1][1] += j - i
+                    kept[-1][2] += int(late[i:j].sum()) + (kept[-1][4] > at[i])
+                    kept[-1][4] = at[j - 1]
+                    continue
+                if len(kept) > 20_000:
+                    yield pd.DataFrame([(r, n, k, *x, *y) for r, n, k, x, y in kept[:-1]], columns=names)
+                    kept = kept[-1:]
+                kept.append([record[i], j - i, int(late[i:j].sum()), at[i], at[j - 1]])
+        yield pd.DataFrame([(r, n, k, *x, *y) for r, n, k, x, y in kept], columns=names)
+
+    names = ["record_id", "n", "late", "s1", "e1", "s2", "e2"]
+    kind = "record_id bigint, n bigint, late bigint, s1 int, e1 int, s2 int, e2 int"
+    # a range holds a record in one stretch; a record has a row a range
+    ranges = s.select(F.col("record_id").cast("bigint"), *order[1:]).repartitionByRange(*order).sortWithinPartitions(*order).mapInPandas(compare, kind).withColumn("range", F.spark_partition_id())
+    before = F.lag(F.struct("s2", "e2")).over(Window.partitionBy("record_id").orderBy("range"))
+    p = ranges.withColumn("late", F.col("late") + F.coalesce(before > F.struct("s1", "e1"), F.lit(False)).cast("int"))
+    late = p.groupBy("record_id").agg(F.sum("late").alias("out_of_order"), F.sum("n").alias("spans"))
     k = s.where("type is not null").groupBy("record_id", "start", "end", "type").agg(F.count("*").alias("n"))
     twice = k.groupBy("record_id").agg(F.count_if(F.col("n") > 1).alias("repeated"))
     return late.join(twice, "record_id", "left").select("record_id", "spans", "out_of_order", F.coalesce("repeated", F.lit(0)).alias("repeated"))

@@ -32,11 +32,13 @@ def dense_top(queries: DataFrame, base: DataFrame, k: int, pool: str | None = No
         .withColumn("block", F.pmod(F.xxhash64("id"), F.lit(1 << 30)))
     )
     q, b = blocks(queries, "q"), blocks(base, "b")
-    # how many blocks a side has follows from its count
-    parts = lambda df: max(1, -(-df.count() // block))
-    nq, nb = parts(q), parts(b)
-    q = q.withColumn("i", F.pmod("block", F.lit(nq))).withColumn("j", F.explode(F.sequence(F.lit(0), F.lit(nb - 1)))).withColumn("side", F.lit("q"))
-    b = b.withColumn("j", F.pmod("block", F.lit(nb))).withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(nq - 1)))).withColumn("side", F.lit("b"))
+    # how many blocks a side has follows from its count, in a pool from that of the pool: other pools are never met
+    parts = lambda df, n: df.groupBy(*keep).agg(F.ceil(F.count("*") / block).cast("int").alias(n))
+    sides = parts(q, "nq").join(parts(b, "nb"), keep) if pool else parts(q, "nq").crossJoin(parts(b, "nb"))  # without a pool of one row each
+    sides = sides.where("nq > 0 and nb > 0")
+    q, b = (x.join(sides, keep) if pool else x.crossJoin(F.broadcast(sides)) for x in (q, b))
+    q = q.withColumn("i", F.pmod("block", F.col("nq"))).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("nb") - 1))).withColumn("side", F.lit("q"))
+    b = b.withColumn("j", F.pmod("block", F.col("nb"))).withColumn("i", F.explode(F.sequence(F.lit(0), F.col("nq") - 1))).withColumn("side", F.lit("b"))
     b = b.select(*q.columns)
 
     def unit(rows: pd.Series) -> np.ndarray:
@@ -45,18 +47,15 @@ def dense_top(queries: DataFrame, base: DataFrame, k: int, pool: str | None = No
         return m / np.where(n > 0, n, 1)
 
     def search(pdf: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        for _, part in pdf.groupby(pool) if pool else [(None, pdf)]:
-            x, y = part[part["side"] == "q"], part[part["side"] == "b"].sort_values("id")
-            if not len(x) or not len(y):
-                continue
-            s = np.round(unit(x["embedding"]) @ unit(y["embedding"]).T, 6)
-            ids = y["id"].to_numpy()
-            top = np.argsort(-s, axis=1, kind="stable")[:, :k]
-            out.append(pd.DataFrame({"query_id": np.repeat(x["id"].to_numpy(), top.shape[1]), "base_id": ids[top].ravel(), "score": np.take_along_axis(s, top, 1).ravel()}))
-        return pd.concat(out) if out else pd.DataFrame({"query_id": pd.Series(dtype="int64"), "base_id": pd.Series(dtype="int64"), "score": pd.Series(dtype="float64")})
-
-    met = q.unionByName(b).groupBy("i", "j").applyInPandas(search, "query_id bigint, base_id bigint, score double")
+        x, y = pdf[pdf["side"] == "q"], pdf[pdf["side"] == "b"].sort_values("id")
+        if not len(x) or not len(y):
+            return pd.DataFrame({"query_id": pd.Series(dtype="int64"), "base_id": pd.Series(dtype="int64"), "score": pd.Series(dtype="float64")})
+        s = np.round(unit(x["embedding"]) @ unit(y["embedding"]).T, 6)
+        ids = y["id"].to_numpy()
+        top = np.argsort(-s, axis=1, kind="stable")[:, :k]
+        return pd.DataFrame({"query_id": np.repeat(x["id"].to_numpy(), top.shape[1]), "base_id": ids[top].ravel(), "score": np.take_along_axis(s, top, 1).ravel()})
+
+    met = q.unionByName(b).groupBy(*keep, "i", "j").applyInPandas(search, "query_id bigint, base_id bigint, score double")
     return _best(met, k, ["query_id"]).select("query_id", "base_id", "score", "rank")
 
 

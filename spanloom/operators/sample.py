@@ -15,15 +15,25 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from spanloom.functions.text import hash_int
+from spanloom.session import written
 
 
 def global_rank(df: DataFrame, value: str, tie: str) -> DataFrame:
-    """``rank`` from 0 by (value, tie) and ``total``: counts of distinct values in order, plus the place within a value."""
-    n = df.groupBy(value).agg(F.count("*").alias("_n"))
-    w = Window.partitionBy().orderBy(value)  # over distinct values only, summed up first
-    n = n.withColumn("_before", F.sum("_n").over(w) - F.col("_n")).withColumn("total", F.sum("_n").over(Window.partitionBy())).drop("_n")
-    within = F.row_number().over(Window.partitionBy(value).orderBy(tie)) - 1
-    return df.join(n, value).withColumn("rank", F.col("_before") + within).drop("_before")
+    """``rank`` from 0 by (value, tie) and ``total``: the place in a sorted range, and how many rows are in the ranges before it.
+
+    The ranges are cut by both columns, so a value that very many rows hold is spread over tasks; only the sizes of ranges are
+    collected.
+    """
+    sorted_ = df.repartitionByRange(value, tie).withColumn("_range", F.spark_partition_id())
+    sorted_ = written(sorted_)  # ranges are drawn from a sample: they must not change
+    sizes = {r["_range"]: r["count"] for r in sorted_.groupBy("_range").count().collect()}
+    before, total = [], 0
+    for i in sorted(sizes):
+        before += [F.lit(i), F.lit(total)]
+        total += sizes[i]
+    within = F.row_number().over(Window.partitionBy("_range").orderBy(value, tie)) - 1
+    start = F.element_at(F.create_map(*before), F.col("_range")) if before else F.lit(0)
+    return sorted_.withColumn("rank", (start + within).cast("bigint")).withColumn("total", F.lit(total).cast("bigint")).drop("_range")
 
 
 def equal_strata(docs: DataFrame, size: str, key: str, strata: int) -> DataFrame:

@@ -18,6 +18,8 @@ LAB_NAMES = ["bạch cầu", "hồng cầu", "tiểu cầu", "huyết sắc tố
 FAMILIES = {"tok_": "token", "llm_": "llm", "nurse_": "human", "rule": "rules", "lex": "rules"}
 FLOORS = {"TRIỆU_CHỨNG": 0.6, "CHẨN_ĐOÁN": 0.65, "THUỐC": 0.7, "TÊN_XÉT_NGHIỆM": 0.6, "KẾT_QUẢ_XÉT_NGHIỆM": 0.6, "THÔNG_TIN_BỆNH_NHÂN": 0.5}
 GRID = [0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9]
+#: Names that each worker holds for dictionary_spans.
+MOST_NAMES = 200_000
 HISTORY_HEADINGS = ["TIỀN SỬ", "HISTORY"]
 
 QUERIES = {}
@@ -33,10 +35,9 @@ def _docs(spark, d, *more):
 
 
 def _spans(spark, d):
-    """Last delivery of each span; one row a span_id."""
+    """Last delivery of each span; one row a span_id, of equal deliveries one; rows without span_id are out."""
     s = table(spark, d, "spans", "span_id", "record_id", "ord", "text", "type", "start", "end", "assertions", "candidates", "confidence", "source", "ingested_at")
-    w = Window.partitionBy("span_id").orderBy(F.desc("ingested_at"))
-    return s.withColumn("n", F.row_number().over(w)).where("n = 1").drop("n", "ingested_at")
+    return quality.latest(s, "span_id", "ingested_at").drop("ingested_at")
 
 
 def _snapshots(spark, d):
@@ -133,8 +134,10 @@ def section_items(spark, d):
 
 @query
 def dictionary_spans(spark, d):
-    names = [r.canonical for r in table(spark, d, "nodes", "canonical").where("canonical is not null").distinct().collect()]  # a list of fixed size
-    return generate.dictionary_spans(_docs(spark, d), sorted(names))
+    names = _names(spark, d).select("name").distinct().limit(MOST_NAMES + 1).collect()
+    if len(names) > MOST_NAMES:
+        raise ValueError(f"over {MOST_NAMES} names; gram_dictionary takes a list of any size")
+    return generate.dictionary_spans(_docs(spark, d), sorted(r.name for r in names))
 
 
 @query
@@ -780,8 +783,11 @@ def two_pass_review(spark, d):
 @query
 def passage_mean_confidence(spark, d):
     o = generate.passage_occurrences(_docs(spark, d)).select("passage", F.col("doc_id").alias("record_id"), F.col("start").alias("w_start"), F.col("end").alias("w_end"))
-    s = _spans(spark, d).where("record_id is not null and confidence is not null and start < `end`").select("record_id", "start", "end", "confidence")
-    j = s.join(o, "record_id").where("start >= w_start and `end` <= w_end")
+    s = _spans(spark, d).where("record_id is not null and confidence is not null and start < `end`")
+    # a place that was marked very often is one row
+    s = s.groupBy("record_id", "start", "end").agg(F.avg("confidence").alias("confidence"), F.count("*").alias("times")).withColumn("type", F.lit(""))
+    inside = spans.clip(s, o).where("not crosses").select("record_id", "w_start", "w_end", (F.col("w_start") + F.col("start")).alias("start"), (F.col("w_start") + F.col("end")).alias("end"))
+    j = inside.join(s, ["record_id", "start", "end"]).join(o.distinct(), ["record_id", "w_start", "w_end"])
     return merge.passage_means(j, "passage", "confidence")
 
 
