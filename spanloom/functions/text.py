@@ -83,8 +83,8 @@ def words(c: Column | str) -> Column:
 
 
 def tokens(c: Column | str) -> Column:
-    """Lower-case words and single signs."""
-    return F.regexp_extract_all(F.lower(_col(c)), F.lit(r"([\p{L}\p{N}\p{M}_]+|[^\p{L}\p{N}\p{M}_\s])"), F.lit(1))
+    """Lower-case runs of letters, digits and underscores, and single other characters but white space; a combining mark is one of these."""
+    return F.regexp_extract_all(F.lower(_col(c)), F.lit(r"([\p{L}\p{N}_]+|[^\p{L}\p{N}_\s\p{Z}\x85])"), F.lit(1))
 
 
 def crlf_offset(text: Column | str, offset: Column | str) -> Column:
@@ -154,6 +154,12 @@ def word_distance(a: Column, b: Column) -> Column:
     return F.aggregate(a, first, row, lambda r: F.element_at(r, -1))
 
 
+def word_error_rate(a: Column | str, b: Column | str) -> Column:
+    """Edit distance of the tokens of ``b`` from those of ``a`` over the tokens of ``a``; of an empty ``a`` 0 or, if ``b`` has some, 1. Null counts as empty."""
+    x, y = tokens(F.coalesce(_col(a), F.lit(""))), tokens(F.coalesce(_col(b), F.lit("")))
+    return F.when(F.size(x) > 0, word_distance(x, y) / F.size(x)).otherwise(F.when(F.size(y) == 0, 0.0).otherwise(1.0))
+
+
 def compact_code(c: Column | str) -> Column:
     """Capital letters and digits only: K21.9 as K219."""
     return F.regexp_replace(F.upper(_col(c)), "[^A-Z0-9]", "")

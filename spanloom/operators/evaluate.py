@@ -6,10 +6,11 @@ side scores is a parameter, since conventions differ.
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from spanloom.functions.text import jaccard, word_distance, words
+from spanloom.functions.text import jaccard, tokens, word_distance, word_error_rate, words
 from spanloom.operators.spans import align
 
 KEY = ["record_id", "start", "end", "type"]
@@ -47,10 +48,12 @@ def score_pairs(gold: DataFrame, found: DataFrame) -> DataFrame:
     t = pairs.join(_details(gold, "t"), ["record_id", "type", "t_start", "t_end"], "left").join(_details(found, "f"), ["record_id", "type", "f_start", "f_end"], "left")
     a, b = words(F.coalesce("t_text", F.lit(""))), words(F.coalesce("f_text", F.lit("")))
     similar = F.when(F.size(a) > 0, 1 - word_distance(a, b) / F.size(a)).otherwise(F.when(F.size(b) == 0, 1.0).otherwise(0.0))
+    both = F.col("t_start").isNotNull() & F.col("f_start").isNotNull()
+    of = lambda c: F.when(both, c).otherwise(0.0)  # noqa: E731 (a span of one side alone scores nothing)
     return t.select(
-        "record_id", "type", "t_start", "f_start", F.round(similar, 6).alias("text_score"),
-        F.when(F.col("type").isin(*ASSERTED), jaccard("t_assertions", "f_assertions")).alias("assertion_score"),
-        F.when(F.col("type").isin(*CODED), jaccard("t_candidates", "f_candidates")).alias("candidate_score"),
+        "record_id", "type", "t_start", "f_start", F.round(of(similar), 6).alias("text_score"),
+        F.when(F.col("type").isin(*ASSERTED), of(jaccard("t_assertions", "f_assertions"))).alias("assertion_score"),
+        F.when(F.col("type").isin(*CODED), of(jaccard("t_candidates", "f_candidates"))).alias("candidate_score"),
         F.when(F.col("type").isin(*CODED), F.size(F.coalesce("t_candidates", F.array())) + 1).alias("candidate_weight"),
     )
 
@@ -74,6 +77,80 @@ def score_corpus(gold: DataFrame, found: DataFrame) -> DataFrame:
     return r.select("records", *(F.round(c, 4).alias(c) for c in ("text", "assertions", "candidates")), F.round(final, 4).alias("final"))
 
 
+def pair_in_order(gold: DataFrame, found: DataFrame) -> DataFrame:
+    """Pairs of a true and a found span of one type and record, wherever they stand, and the rest of both sides.
+
+    True spans choose one after the other, by position: the found span of the same position, else the one of the least word error rate, then
+    the nearest start, then the earlier one; a found span is chosen once. Columns as ``align`` has them. A group is the distinct
+    spans of a type in a record; its choice is a fold in one task, over error rates of different texts only.
+    """
+
+    def choose(a: pd.Series, b: pd.Series) -> pd.Series:
+        def rate(x: list[str], y: list[str]) -> float:
+            if not x:
+                return float(bool(y))
+            last = list(range(len(y) + 1))
+            for i, v in enumerate(x, 1):
+                row = [i]
+                for j, w in enumerate(y, 1):
+                    row.append(min(row[-1] + 1, last[j] + 1, last[j - 1] + (v != w)))
+                last = row
+            return last[-1] / len(x)
+
+        out = []
+        for trues, founds in zip(a, b):
+            trues, founds = (sorted(((r["start"], r["end"], r["text"], tuple(r["words"])) for r in ([] if x is None else x)), key=lambda r: r[:2]) for x in (trues, founds))
+            free, at, known, rows = dict.fromkeys(range(len(founds))), {r[:2]: i for i, r in enumerate(founds)}, {}, []
+            for t in trues:
+                best = at.get(t[:2])
+                if best not in free:
+                    def cost(i: int, t: tuple = t) -> tuple:
+                        key = (t[3], founds[i][3])
+                        if key not in known:
+                            known[key] = rate(*key)
+                        return known[key], abs(t[0] - founds[i][0]), i
+
+                    best = min(free, key=cost, default=None)
+                if best is None:
+                    rows.append((t[0], t[1], None, None))
+                else:
+                    del free[best]
+                    rows.append((t[0], t[1], founds[best][0], founds[best][1]))
+            rows += [(None, None, founds[i][0], founds[i][1]) for i in free]
+            out.append([dict(zip(("t_start", "t_end", "f_start", "f_end"), r)) for r in rows])
+        return pd.Series(out)
+
+    def side(df: DataFrame, name: str) -> DataFrame:
+        rows = _details(df, "x").select("record_id", "type", F.struct(F.col("x_start").alias("start"), F.col("x_end").alias("end"), F.col("x_text").alias("text"), tokens("x_text").alias("words")).alias("r"))
+        return rows.groupBy("record_id", "type").agg(F.collect_list("r").alias(name))
+
+    both = side(gold, "a").join(side(found, "b"), ["record_id", "type"], "full_outer")
+    fold = F.pandas_udf(choose, "array<struct<t_start:int,t_end:int,f_start:int,f_end:int>>")
+    return both.select("record_id", "type", F.explode(fold("a", "b")).alias("p")).select("record_id", "type", "p.*")
+
+
+def internal_scores(gold: DataFrame, found: DataFrame) -> DataFrame:
+    """Per record over pairs taken in order: mean of 1 less the word error rate (0 at least), mean Jaccard of assertions, Jaccard of candidates weighted by
+    the true ones and one, and .3, .3 and .4 of them. Spans of one side alone score nothing; records without spans on both sides have no row."""
+    pairs = pair_in_order(gold, found)
+    t = pairs.join(_details(gold, "t"), ["record_id", "type", "t_start", "t_end"], "left").join(_details(found, "f"), ["record_id", "type", "f_start", "f_end"], "left")
+    both = F.col("t_start").isNotNull() & F.col("f_start").isNotNull()
+    of = lambda c: F.when(both, c).otherwise(0.0)
+    weight = F.size(F.coalesce("t_candidates", F.array())) + 1
+    r = t.groupBy("record_id").agg(
+        F.count("*").alias("pairs"), F.avg(of(F.greatest(1 - word_error_rate("t_text", "f_text"), F.lit(0.0)))).alias("text"),
+        F.avg(of(jaccard("t_assertions", "f_assertions"))).alias("assertions"), (F.sum(of(jaccard("t_candidates", "f_candidates")) * weight) / F.sum(weight)).alias("candidates"),
+    )
+    final = 0.3 * F.col("text") + 0.3 * F.col("assertions") + 0.4 * F.col("candidates")
+    return r.select("record_id", "pairs", *(F.round(c, 6).alias(c) for c in ("text", "assertions", "candidates")), F.round(final, 6).alias("final"))
+
+
+def internal_macro(scores: DataFrame, records: DataFrame) -> DataFrame:
+    """One row: means over all ``records`` (``record_id``) of their scores; a record without spans on either side scores 1."""
+    j = records.dropna(subset=["record_id"]).select("record_id").distinct().join(scores, "record_id", "left")
+    return j.agg(F.count("*").alias("records"), *(F.round(F.avg(F.coalesce(c, F.lit(1.0))), 4).alias(c) for c in ("text", "assertions", "candidates", "final")))
+
+
 def threshold_grid(scored: DataFrame, thresholds: list[float]) -> DataFrame:
     """Per threshold: taken, right, precision, recall, F1. ``scored`` has ``score`` and ``positive``; nulls are out.
 

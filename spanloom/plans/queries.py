@@ -406,12 +406,10 @@ def jaccard_macro(spark, d):
 
 @query
 def word_edit_distance(spark, d):
-    s = table(spark, d, "pu_rows", "text").where("text is not null").distinct()
-    e = table(spark, d, "evidence", "item_id", "text").where("text is not null").distinct()
-    first = F.element_at(F.split(F.trim("text"), " +"), 1)
-    a = s.groupBy(first.alias("w")).agg(F.min("text").alias("a"))
-    j = e.withColumn("w", first).join(a, "w")
-    return j.select("item_id", "text", F.col("a").alias("other"), T.word_distance(T.words("text"), T.words("a")).cast("bigint").alias("distance"))
+    p = table(spark, d, "pu_rows", "record", "type", "text").where("text is not null").select(F.col("record").alias("record_id"), "type", F.col("text").alias("other")).distinct()
+    e = table(spark, d, "evidence", "item_id", "record_id", "type", "text").where("text is not null").distinct()
+    j = e.join(p, ["record_id", "type"]).select("item_id", "text", "other").distinct()
+    return j.select("item_id", "text", "other", T.word_distance(T.words("text"), T.words("other")).cast("bigint").alias("distance"))
 
 
 @query
@@ -424,6 +422,22 @@ def score_corpus(spark, d):
     return evaluate.score_corpus(*_snapshots(spark, d))
 
 
+@query
+def pair_entities(spark, d):
+    return evaluate.pair_in_order(*_snapshots(spark, d))
+
+
+@query
+def internal_scores(spark, d):
+    return evaluate.internal_scores(*_snapshots(spark, d))
+
+
+@query
+def internal_macro(spark, d):
+    scores = evaluate.internal_scores(*_snapshots(spark, d))
+    return evaluate.internal_macro(scores, table(spark, d, "documents", "doc_id").withColumnRenamed("doc_id", "record_id"))
+
+
 @query
 def threshold_grid(spark, d):
     return evaluate.threshold_grid(_scored(spark, d), GRID)
