@@ -65,24 +65,33 @@ def level(c: Column) -> Column:
     return F.coalesce(F.least(F.greatest(tenth, F.lit(LOW)), F.lit(HIGH)) - LOW + 1, F.lit(0))
 
 
-def ascend(seen: np.ndarray, due: np.ndarray, value: np.ndarray, weight: float) -> np.ndarray:
+def ascend(seen: np.ndarray, due: np.ndarray, value: np.ndarray, weight: float, steps: int = 5) -> np.ndarray:
     """By how much to move parameters: the root of ``seen - due * exp(x) - weight * (value + x)``, within 3."""
     x = np.zeros_like(value)
-    for _ in range(5):
+    for _ in range(steps):
         e = due * np.exp(x)
         x = np.clip(x + (seen - e - weight * (value + x)) / (e + weight), -3, 3)
     return x
 
 
 class Batch:
-    """The votes of some items, one after the other: number of the item, voter (source and level), vote, weight."""
+    """The votes of some items, one after the other: number of the item, voter (source and level), vote, weight.
+
+    Items of fewer votes come first; ``order`` says which they were.
+    """
 
     def __init__(self, voters: pa.ListArray, votes: pa.ListArray, members: np.ndarray):
         size = np.diff(voters.offsets.to_numpy())
         self.n = len(size)
+        self.order = np.argsort(size, kind="stable")
+        first = (np.cumsum(size) - size)[self.order]
+        size = size[self.order]
+        begin = np.cumsum(size) - size
+        at = np.arange(int(size.sum())) + np.repeat(first - begin, size)
         self.item = np.repeat(np.arange(self.n), size)
-        self.first = np.cumsum(size) - size
-        self.voter, self.vote = voters.flatten().to_numpy(), votes.flatten().to_numpy()
+        cut = np.flatnonzero(np.diff(size, prepend=-1, append=-1))
+        self.blocks = [(begin[a], int(size[a]), int(b - a)) for a, b in zip(cut[:-1], cut[1:])]
+        self.voter, self.vote = voters.flatten().to_numpy()[at], votes.flatten().to_numpy()[at]
         self.source = self.voter // LEVELS
         # members of a group of copies share one vote on an item
         group = members[self.source]
@@ -92,27 +101,29 @@ class Batch:
 
     def total(self, x: np.ndarray) -> np.ndarray:
         """Sums per item."""
-        return np.add.reduceat(x, self.first, axis=0)
+        return np.concatenate([x[a : a + n * k].reshape(k, n, *x.shape[1:]).sum(axis=1) for a, n, k in self.blocks])
 
     def fit(self, source: np.ndarray, prior: np.ndarray, inner: int = INNER) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Posteriors, item parameters, weighted probabilities of all votes, and the objective per item without that of the sources."""
         t, m = len(prior), len(self.vote)
-        tables = np.exp(source)
-        item = np.zeros((self.n, t, t))
-        one = np.zeros((m, t))
+        tables = np.exp(source).astype(np.float32)
+        weight = self.weight.astype(np.float32)
+        item = np.zeros((self.n, t, t), np.float32)
+        one = np.zeros((m, t), np.float32)
         one[np.arange(m), self.vote] = self.weight
         cast = self.total(one)
         for step in range(inner + 1):
             p = tables[self.voter] * np.exp(item)[self.item]
             p /= p.sum(axis=2, keepdims=True)
-            like = self.total(np.log(p[np.arange(m), :, self.vote] + 1e-300) * self.weight[:, None]) + np.log(prior)
+            like = self.total(np.log(p[np.arange(m), :, self.vote].astype(float) + 1e-30) * self.weight[:, None]) + np.log(prior)
             top = like.max(axis=1, keepdims=True)
             q = np.exp(like - top)
-            value = np.log(q.sum(axis=1)) + top[:, 0] - ITEM_WEIGHT / 2 * (item**2).sum(axis=(1, 2))
+            value = np.log(q.sum(axis=1)) + top[:, 0] - ITEM_WEIGHT / 2 * np.square(item, dtype=float).sum(axis=(1, 2))
             q /= q.sum(axis=1, keepdims=True)
-            p *= self.weight[:, None, None]
+            p *= weight[:, None, None]
             if step < inner:
-                item += ascend(q[:, :, None] * cast[:, None, :], q[:, :, None] * self.total(p), item, ITEM_WEIGHT)
+                share = q.astype(np.float32)[:, :, None]
+                item += ascend(share * cast[:, None, :], share * self.total(p), item, np.float32(ITEM_WEIGHT), 3)
         return q, item, p, value
 
 
@@ -129,11 +140,13 @@ def _batches(batches: Iterator[pa.RecordBatch], types: int, members: np.ndarray)
             at = to
 
 
-def _by_voter(voter: np.ndarray, x: np.ndarray, out: np.ndarray) -> None:
-    order = np.argsort(voter, kind="stable")
-    at = np.flatnonzero(np.diff(voter[order], prepend=-1))
-    if len(at):
-        out[voter[order][at]] += np.add.reduceat(x[order], at, axis=0)
+def _by_row(row: np.ndarray, x: np.ndarray, out: np.ndarray) -> None:
+    """Adds each row of ``x`` to the row of ``out`` it belongs to."""
+    order = np.argsort(row, kind="stable")
+    cut = np.flatnonzero(np.diff(row[order], prepend=-1))
+    x = x[order]
+    for a, b in zip(cut.tolist(), [*cut[1:].tolist(), len(row)]):
+        out[row[order[a]]] += x[a:b].sum(axis=0)
 
 
 class Model:
@@ -148,19 +161,19 @@ class Model:
         self.members = np.arange(s)
         self.objective: list[float] = []
 
-    def pass_over(self, items: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
+    def pass_over(self, items: DataFrame, inner: int = INNER) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
         """Sums over all items of seen and expected votes, by voter, label and vote, of the posteriors, and the objective."""
         source, prior, members = self.source, self.prior, self.members
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             seen, due, mass, value = np.zeros(source.shape), np.zeros(source.shape), np.zeros(len(prior)), 0.0
             for _, b in _batches(batches, len(prior), members):
-                q, _, p, own = b.fit(source, prior)
+                q, _, p, own = b.fit(source, prior, inner)
                 each = q[b.item]
-                one = np.zeros(p.shape)
-                one[np.arange(len(p)), :, b.vote] = each * b.weight[:, None]
-                _by_voter(b.voter, one, seen)
-                _by_voter(b.voter, each[:, :, None] * p, due)
+                cast = np.zeros((len(source) * len(prior), len(prior)))
+                _by_row(b.voter * len(prior) + b.vote, each * b.weight[:, None], cast)
+                seen += cast.reshape(source.shape).swapaxes(1, 2)
+                _by_row(b.voter, (each[:, :, None] * p).reshape(len(p), -1), due.reshape(len(source), -1))
                 mass += q.sum(axis=0)
                 value += own.sum()
             cells = np.flatnonzero((seen.ravel() != 0) | (due.ravel() != 0))
@@ -217,7 +230,8 @@ class Model:
 
     def fit(self, items: DataFrame) -> Model:
         for step in range(ROUNDS):
-            seen, due, mass, value = self.pass_over(items)
+            # at first, while labels are from plain sources, items have no parameters of their own
+            seen, due, mass, value = self.pass_over(items, INNER if step > 2 else 0)
             self.objective.append(value)
             self.source = self.source + ascend(seen, due, self.source, SOURCE_WEIGHT)
             if step == 2:
@@ -267,7 +281,7 @@ def consensus(proposals: DataFrame, evidence: DataFrame, sources: bool = True) -
             pairs = (each * (each - 1)).sum(axis=1)
             agreement = pa.array((pairs / np.maximum(n * (n - 1), 1)).round(6), mask=n < 2)  # one vote has no agreement
             labels = pa.array(types).take(pa.array(q.argmax(axis=1)))
-            yield pa.RecordBatch.from_arrays([part.column("item_id"), labels, pa.array(q.max(axis=1).round(6)), agreement], names=["item_id", "label", "confidence", "agreement"])
+            yield pa.RecordBatch.from_arrays([part.column("item_id").take(pa.array(b.order)), labels, pa.array(q.max(axis=1).round(6)), agreement], names=["item_id", "label", "confidence", "agreement"])
 
     labels = items.mapInArrow(run, "item_id bigint, label string, confidence double, agreement double")
     known = proposals.select("item_id").union(evidence.select("item_id")).where("item_id is not null").select(F.col("item_id").cast("bigint")).distinct()
