@@ -10,7 +10,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from spanloom.functions import text as T
-from spanloom.operators import evaluate, generate, learn, merge, quality, retrieve, sample, scope, spans, votes
+from spanloom.operators import evaluate, extract, generate, learn, merge, quality, retrieve, sample, scope, spans, votes
 from spanloom.session import table
 
 RULES, MODELS = ("rule", "lex_core"), ("tok_alpha", "llm_wide")
@@ -156,6 +156,28 @@ def context_assertions(spark, d):
     return scope.assertions(_spans(spark, d), _docs(spark, d), evaluate.ASSERTED, evaluate.CODED, "TRIỆU_CHỨNG")
 
 
+def _lexicon(spark, d):
+    """Listed phrases, each list of checked size: concept names by ontology, and symptoms that extractors found in three records or more."""
+    names = table(spark, d, "nodes", "ontology", "canonical", "aliases")
+    names = names.select("ontology", F.explode(F.concat(F.array("canonical"), F.coalesce("aliases", F.array().cast("array<string>")))).alias("name")).where("name is not null").distinct()
+    symptoms = votes.distil_lexicon(_spans(spark, d), 3).where("type = 'TRIỆU_CHỨNG'").select(F.lit("").alias("ontology"), F.col("mention").alias("name"))
+    rows = names.unionByName(symptoms).limit(MOST_NAMES + 1).collect()
+    if len(rows) > MOST_NAMES:
+        raise ValueError(f"over {MOST_NAMES} phrases")
+    of = lambda o: sorted(r.name for r in rows if r.ontology == o)
+    headings = {"triệu chứng": "TRIỆU_CHỨNG", "lý do vào viện": "TRIỆU_CHỨNG", "chẩn đoán": "CHẨN_ĐOÁN", "tiền sử": "CHẨN_ĐOÁN"}
+    return extract.Lexicon(of(""), of("WHO_ICD10_2019"), [], of("RXNORM_CPC_2026_07"), LAB_NAMES, [], headings)
+
+
+@query
+def infer_entities(spark, d):
+    n = table(spark, d, "nodes", "ontology", "identifier", "canonical", "aliases")
+    n = n.select("ontology", "identifier", F.explode(F.concat(F.array("canonical"), F.coalesce("aliases", F.array().cast("array<string>")))).alias("name"))
+    kind = F.when(F.col("ontology") == "WHO_ICD10_2019", "CHẨN_ĐOÁN").otherwise("THUỐC")
+    codes = n.select(kind.alias("type"), T.normalize_key("name").alias("phrase"), F.col("identifier").alias("code"))
+    return extract.infer(_docs(spark, d), _lexicon(spark, d), codes, sections=True)
+
+
 @query
 def gaps_islands(spark, d):
     l = generate.lines(_docs(spark, d)).withColumn("tag", F.when(F.col("body").rlike("[0-9]"), "number").otherwise("words"))
