@@ -124,6 +124,12 @@ def jaccard(a: Column | str, b: Column | str) -> Column:
     return F.when(union == 0, F.lit(1.0)).otherwise(F.size(F.array_intersect(x, y)) / union)
 
 
+def ordered_union(a: Column | str, b: Column | str) -> Column:
+    """Values of ``a`` in their order, then those of ``b`` that ``a`` lacks, each once; a null array counts as empty, null values are out."""
+    x, y = (F.coalesce(_col(c), F.array().cast("array<string>")) for c in (a, b))
+    return F.array_compact(F.array_distinct(F.concat(x, y)))
+
+
 def overlap(a: Column, b: Column, c: Column, d: Column) -> Column:
     """Length of what the spans [a, b) and [c, d) share."""
     return F.greatest(F.least(b, d) - F.greatest(a, c), F.lit(0))

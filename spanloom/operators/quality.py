@@ -123,3 +123,15 @@ def fingerprint(docs: DataFrame, by: str, content: str) -> DataFrame:
     h = F.sha2(F.concat_ws("\x1f", F.col("doc_id").cast("string"), F.coalesce(content, F.lit("\x1e"))), 256)
     part = lambda at: F.sum(F.conv(F.substring(h, at, 8), 16, 10).cast("decimal(38,0)"))
     return docs.groupBy(F.coalesce(by, F.lit("")).alias(by)).agg(F.count("*").alias("rows"), part(1).cast("string").alias("digest_a"), part(9).cast("string").alias("digest_b"))
+
+
+def occurrence_coverage(entities: DataFrame, occurrences: DataFrame, passage: str = "passage") -> DataFrame:
+    """Per passage: occurrences, different entities (at their place in it), how many entities its occurrences have in all, and how many they lack.
+
+    Every occurrence should have every entity; the pairs that are missing are counted, not made. ``entities``: ``passage, record_id, start, end, type``,
+    ``occurrences``: ``passage, record_id``.
+    """
+    o = occurrences.select(passage, "record_id").dropna().distinct().groupBy(passage).agg(F.count("*").alias("occurrences"))
+    held = entities.select(passage, "record_id", "start", "end", "type").dropna().distinct()
+    e = held.groupBy(passage, "start", "end", "type").agg(F.count("*").alias("n")).groupBy(passage).agg(F.count("*").alias("entities"), F.sum("n").alias("present"))
+    return o.join(e, passage).select(passage, "occurrences", "entities", "present", (F.col("occurrences") * F.col("entities") - F.col("present")).alias("missing"))

@@ -123,11 +123,38 @@ def neighbour_mean(edges: DataFrame, values: DataFrame) -> DataFrame:
     return j.groupBy(F.col("a").alias("id")).agg(F.count("*").alias("degree"), F.round(F.avg("value"), 6).alias("neighbour_mean"))
 
 
+def sibling_rows(edges: DataFrame) -> DataFrame:
+    """Each node with each other node of its parent (``id, other``); as many rows as the lists have, so for fan-outs of a listed hierarchy."""
+    a = edges.select(F.col("source").alias("id"), "target").distinct()
+    return a.join(a.withColumnRenamed("id", "other"), "target").where("id <> other").select("id", "other").distinct()
+
+
+def graph_union(*graphs: DataFrame, key: str = "identifier") -> tuple[DataFrame, DataFrame]:
+    """Nodes of all graphs, of which each id must be in one only: the union of those, and the ids that more have (``key, graphs``), which are in no union."""
+    every = graphs[0].withColumn("graph", F.lit(0))
+    for i, g in enumerate(graphs[1:], 1):
+        every = every.unionByName(g.withColumn("graph", F.lit(i)), allowMissingColumns=True)
+    n = every.where(F.col(key).isNotNull()).groupBy(key).agg(F.countDistinct("graph").alias("graphs"))
+    twice = n.where("graphs > 1")
+    return every.where(F.col(key).isNotNull()).join(twice, key, "left_anti"), twice
+
+
+def graph_manifest(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """Per part of the graph (nodes by ontology, edges by relation) its size and a digest that doesn't depend on order."""
+    digest = lambda *c: F.sum(F.conv(F.substring(F.sha2(F.concat_ws("\x1f", *c), 256), 1, 8), 16, 10).cast("decimal(38,0)")).cast("string").alias("digest")
+    n = nodes.where("identifier is not null").groupBy(F.concat(F.lit("node "), "ontology").alias("part")).agg(F.count("*").alias("n"), digest(F.col("identifier"), F.coalesce("canonical", F.lit(""))))
+    e = edges.groupBy(F.concat(F.lit("edge "), "relation").alias("part")).agg(F.count("*").alias("n"), digest(F.col("source"), F.col("target")))
+    return n.unionByName(e)
+
+
 def hard_negatives(edges: DataFrame, least: int = 1) -> DataFrame:
-    """Per node the number of others that are near it in the graph without being it: neighbours and siblings."""
-    n = neighbours(edges).groupBy(F.col("a").alias("id")).agg(F.count("*").alias("near"))
-    s = siblings(edges).select(F.col("source").alias("id"), "siblings")
-    return n.join(s, "id", "left").select("id", (F.col("near") + F.coalesce("siblings", F.lit(0))).alias("negatives")).where(F.col("negatives") >= least)
+    """Each node with others near it in the graph (``id, negative``): neighbours and siblings, each once; nodes with fewer than ``least`` are out."""
+    near = neighbours(edges).select(F.col("a").alias("id"), F.col("b").alias("negative")).unionByName(sibling_rows(edges).withColumnRenamed("other", "negative"))
+    near = near.where("id <> negative").distinct()
+    if least < 2:
+        return near
+    enough = near.groupBy("id").agg(F.count("*").alias("n")).where(F.col("n") >= least)
+    return near.join(enough, "id", "left_semi")
 
 
 def parent_hedge(spans: DataFrame, nodes: DataFrame, kind: str) -> DataFrame:

@@ -230,3 +230,64 @@ def simulate_gate(spark, clusters: tuple[int, ...], effects: tuple[float, ...],
     out = cells.mapInPandas(run, "clusters int, effect double, rho double, noise string, n long, naive long, clustered long, t long")
     rate = lambda c: F.round(F.sum(c) / F.sum("n"), 6).alias(c)
     return out.groupBy("clusters", "effect", "rho", "noise").agg(F.sum("n").alias("replications"), rate("naive"), rate("clustered"), rate("t"))
+
+
+def _strata_summary(groups: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of values [..., member] per stratum: mean weighted by size, its standard error, and Welch's degrees of freedom."""
+    total = sum(g.shape[-1] for g in groups)
+    mean, var, low = 0.0, 0.0, 0.0
+    for g in groups:
+        n = g.shape[-1]
+        own = (n / total) ** 2 * g.var(axis=-1, ddof=1) / n
+        mean, var, low = mean + n / total * g.mean(axis=-1), var + own, low + own**2 / (n - 1)
+    return mean, np.sqrt(var), np.where(low > 0, var**2 / np.where(low > 0, low, 1), np.inf)
+
+
+def interval_methods(spark, strata: tuple[int, ...] = (3, 5, 7), multipliers: tuple[int, ...] = (1, 2, 3, 4), kinds: tuple[str, ...] = NOISE, effects: tuple[float, ...] = (0.0, 0.25, 0.5, 0.75, 1.0), replications: int = 5_000, rounds: int = 1_000, tasks: int = 8, seed: int = 1) -> DataFrame:
+    """How often the lower end of a 95 % interval of a stratified mean is over 0, per size, noise, true effect and method.
+
+    Methods: percentile bootstrap within strata, Welch's t over strata, bootstrap-t within strata. Columns ``n, noise, effect, method, replications, rate``.
+    The bounds of effect 0 are drawn once; an effect moves them. Replications are dealt out to tasks, each with a generator of its own.
+    """
+    grid = [(m, k, t) for m in multipliers for k in kinds for t in range(tasks)]
+    cells = spark.createDataFrame(grid, "multiplier int, noise string, task int").repartition(min(len(grid), 200), "multiplier", "noise", "task")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            rows = []
+            for m, k, t in pdf.itertuples(index=False):
+                own = replications // tasks + (t < replications % tasks)
+                rng = np.random.default_rng([seed, m, NOISE.index(k), t])
+                sizes = [s * m for s in strata]
+                bounds: dict[str, list[np.ndarray]] = {"percentile": [], "welch_t": [], "bootstrap_t": []}
+                quantiles: dict[float, float] = {}
+                for at in range(0, own, 20):
+                    count = min(20, own - at)
+                    groups = [_noise(rng, k, (count, n)) for n in sizes]
+                    mean, error, freedom = _strata_summary(groups)
+                    q = [quantiles.setdefault(f, t_quantile(0.975, f)) for f in np.minimum(freedom, 1e6).round(1).tolist()]
+                    bounds["welch_t"].append(mean - np.asarray(q) * error)
+                    again = [np.take_along_axis(g[:, None, :], rng.integers(0, n, (count, rounds, n)), axis=2) for g, n in zip(groups, sizes)]
+                    means, errors, _ = _strata_summary(again)
+                    bounds["percentile"].append(np.quantile(means, 0.025, axis=1, method="lower"))
+                    apart = means - mean[:, None]
+                    stat = np.where(errors > 0, apart / np.where(errors > 0, errors, 1), np.sign(apart) * np.inf)
+                    high = np.quantile(np.where(apart == 0, 0.0, stat), 0.975, axis=1, method="lower")
+                    bounds["bootstrap_t"].append(np.where(np.isfinite(high), mean - high * error, -np.inf))
+                for method, b in bounds.items():
+                    low = np.concatenate(b)
+                    rows += [(sum(sizes), k, e, method, own, int((low + e > 0).sum())) for e in effects]
+            yield pd.DataFrame(rows, columns=["n", "noise", "effect", "method", "replications", "passed"])
+
+    out = cells.mapInPandas(run, "n int, noise string, effect double, method string, replications long, passed long")
+    return out.groupBy("n", "noise", "effect", "method").agg(F.sum("replications").alias("replications"), F.round(F.sum("passed") / F.sum("replications"), 6).alias("rate"))
+
+
+def power_summary(rates: DataFrame, power: float = 0.8) -> DataFrame:
+    """Per noise and method: the least ``n`` that reaches the power for each true effect (``smallest_n``), and the least effect each ``n`` reaches it for
+    (``detectable``), null where none does. One row per noise, method and kind of answer (``of``: the effect or the n)."""
+    ok = F.col("rate") >= power
+    own = rates.where("effect > 0")
+    a = own.groupBy("noise", "method", F.col("effect").cast("string").alias("of")).agg(F.min(F.when(ok, F.col("n"))).cast("double").alias("answer")).withColumn("kind", F.lit("smallest_n"))
+    b = own.groupBy("noise", "method", F.col("n").cast("string").alias("of")).agg(F.min(F.when(ok, F.col("effect"))).alias("answer")).withColumn("kind", F.lit("detectable"))
+    return a.unionByName(b).select("noise", "method", "kind", "of", "answer")

@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from spanloom.functions.text import context, hash_int, phrase_key
+
 KEY = ["record_id", "start", "end", "type", "text"]
 
 
@@ -163,3 +165,49 @@ def eligible(units: DataFrame, sizes: DataFrame) -> DataFrame:
     w = Window.partitionBy("passage", "start", "end").orderBy(F.desc("records"), F.desc("units"))
     x = x.withColumn("place", F.rank().over(w)).where("place = 1")
     return x.withColumn("tied", F.count("*").over(Window.partitionBy("passage", "start", "end"))).where("tied = 1").drop("place", "tied", "n_records")
+
+
+def weak_links(spans: DataFrame, docs: DataFrame, nodes: DataFrame, width: int = 40, contexts: int = 3) -> DataFrame:
+    """Mentions of coded types with the listed codes they carry, as training pairs: uses, records, up to ``contexts`` contexts, and a fold of the mention.
+
+    A span counts if its text is what stands at its place and one of its codes at least is listed. Mentions that fold to one phrase with the same codes are
+    one row, in one fold (a tenth test, a tenth dev). Contexts are those of the first places by record and start.
+    """
+    listed = nodes.select(F.col("identifier").alias("code")).where("code is not null").distinct()
+    s = spans.dropna(subset=["record_id", "start", "end", "text", "type"]).where(F.size("candidates") > 0).select("record_id", "start", "end", "text", "type", F.array_distinct("candidates").alias("candidates"))
+    codes = s.select(F.explode("candidates").alias("code")).distinct().join(listed, "code", "left_semi")
+    known = s.select("*", F.explode("candidates").alias("code")).join(codes, "code").groupBy("record_id", "start", "end", "text", "type").agg(F.array_join(F.sort_array(F.collect_set("code")), "|").alias("codes"))
+    j = known.join(docs.where("text is not null").select(F.col("doc_id").alias("record_id"), F.col("text").alias("body")), "record_id")
+    j = j.where((F.col("start") >= 0) & (F.col("start") < F.col("end")) & (F.substring("body", F.col("start") + 1, F.col("end") - F.col("start")) == F.col("text")))
+    key = ["type", "mention", "codes"]
+    rows = j.select("type", phrase_key("text").alias("mention"), "codes", "record_id", "start", "text", context("body", "start", "end", width).alias("context"))
+    first = F.row_number().over(Window.partitionBy(*key).orderBy("record_id", "start", "text"))
+    # a mention that is used very often: the first places of each block of its records, then the first of these
+    block = F.pmod(F.xxhash64("record_id"), F.lit(64))
+    near = rows.withColumn("_n", F.row_number().over(Window.partitionBy(*key, block).orderBy("record_id", "start", "text"))).where(F.col("_n") <= contexts).withColumn("_n", first).where(F.col("_n") <= contexts)
+    shown = near.groupBy(*key).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_n", "context"))), lambda x: x["context"]), " ¦ ").alias("contexts"))
+    used = rows.groupBy(*key).agg(F.count("*").alias("uses"), F.countDistinct("record_id").alias("records"))
+    bucket = hash_int(F.col("mention")) % 10
+    fold = F.when(bucket == 0, "test").when(bucket == 1, "dev").otherwise("train")
+    return used.join(shown, key).select(*key, "uses", "records", "contexts", fold.alias("fold"))
+
+
+def category_examples(rows: DataFrame, category: Column, example: Column, most: int = 5) -> DataFrame:
+    """Per category how many rows there are, and the first ``most`` examples in order, from the first of each value only."""
+    r = rows.select(category.alias("category"), example.alias("example")).where("category is not null")
+    values = r.where("example is not null").groupBy("category", "example").agg(F.count("*").alias("n"))
+    block = F.pmod(F.xxhash64("example"), F.lit(64))
+    first = values.withColumn("_k", F.row_number().over(Window.partitionBy("category", block).orderBy("example"))).where(F.col("_k") <= most)
+    first = first.withColumn("_k", F.row_number().over(Window.partitionBy("category").orderBy("example"))).where(F.col("_k") <= most)
+    shown = first.groupBy("category").agg(F.array_join(F.array_sort(F.collect_list("example")), "|").alias("examples"))
+    return r.groupBy("category").agg(F.count("*").alias("n")).join(shown, "category", "left").select("category", "n", F.coalesce("examples", F.lit("")).alias("examples"))
+
+
+def resolution_diff(before: DataFrame, names: DataFrame, types: tuple[str, ...]) -> DataFrame:
+    """Per type how many spans keep, gain, lose or change their codes if each takes those of the names it spells (``key``, ``code``; case and blanks aside)."""
+    listed = names.dropna().groupBy("key").agg(F.sort_array(F.collect_set("code")).alias("found"))
+    empty = F.array().cast("array<string>")
+    s = before.where(F.col("type").isin(*types) & F.col("text").isNotNull()).select("type", phrase_key("text").alias("key"), F.sort_array(F.array_distinct(F.array_compact(F.coalesce("candidates", empty)))).alias("had"))
+    j = s.join(listed, "key", "left").withColumn("found", F.coalesce("found", empty))
+    change = F.when(F.col("had") == F.col("found"), "same").when(F.size("had") == 0, "gained").when(F.size("found") == 0, "lost").otherwise("changed")
+    return j.groupBy("type", change.alias("change")).agg(F.count("*").alias("n"))

@@ -219,7 +219,8 @@ ORACLE = {
     "concept_edges": f"WITH {EDGES} SELECT * FROM ed",
     "concept_siblings": f"WITH {EDGES} SELECT source, target AS parent, count(*) OVER (PARTITION BY target) - 1 AS siblings FROM ed",
     "neighbor_mean": f"WITH {EDGES}, {NEAR} SELECT a AS id, count(*) AS degree, round(avg(length(canonical)::DOUBLE), 6) AS neighbour_mean FROM nb LEFT JOIN nodes ON identifier = b GROUP BY a",
-    "hard_negatives": f"""WITH {EDGES}, {NEAR}, n AS (SELECT a AS id, count(*) AS near FROM nb GROUP BY a), s AS (SELECT source AS id, count(*) OVER (PARTITION BY target) - 1 AS s FROM ed) SELECT id, near + coalesce(s, 0) AS negatives FROM n LEFT JOIN s USING (id) WHERE near + coalesce(s, 0) >= 1""",
+    "hard_negatives": f"""WITH {EDGES}, {NEAR}, sb AS (SELECT DISTINCT x.source AS id, y.source AS negative FROM ed x JOIN ed y ON x.target = y.target AND x.source <> y.source) SELECT a AS id, b AS negative FROM nb WHERE a <> b UNION SELECT id, negative FROM sb""",
+    "sibling_rows": f"""WITH {EDGES} SELECT DISTINCT x.source AS id, y.source AS other FROM ed x JOIN ed y ON x.target = y.target AND x.source <> y.source""",
     "parent_hedge": f"""WITH {S}, x AS (SELECT type = 'CHẨN_ĐOÁN' AND len(candidates) = 1 AND length(candidates[1]) > 3 AND substr(candidates[1], 1, 3) IN (SELECT identifier FROM nodes WHERE length(identifier) = 3) AS e, coalesce(len(candidates), 0) AS n FROM s WHERE span_id IS NOT NULL)
       SELECT coalesce(e, false) AS eligible, CAST(n + CASE WHEN e THEN 1 ELSE 0 END AS INT) AS codes, count(*) AS n FROM x GROUP BY 1, 2""",
     "alias_link": f"""WITH {S}, a AS (SELECT trim(regexp_replace(lower(name), '[ \\t\\r\\n\\f]+', ' ', 'g')) AS phrase, min(identifier) AS identifier FROM (SELECT identifier, unnest(list_concat([canonical], coalesce(aliases, {EMPTY}))) AS name FROM nodes) WHERE name IS NOT NULL GROUP BY 1),

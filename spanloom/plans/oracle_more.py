@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from spanloom.operators import scope
-from spanloom.plans.oracle import BC, JACCARD, MEETS, SORTED, S
+from spanloom.plans.oracle import BC, EDGES, GROUPS, JACCARD, KEYS, LINES, MEETS, OCC, PASSAGE_ENTITIES, PHRASE, S, _hash
 
 EMPTY = "CAST([] AS VARCHAR[])"
 
@@ -119,7 +119,59 @@ def _compatible(c: str) -> str:
     return f"lower({out})"
 
 
+TOKEN = r"""cu AS (SELECT doc_id, unnest(regexp_split_to_array(text, '[ \t\r\n\f]')) AS piece, generate_subscripts(regexp_split_to_array(text, '[ \t\r\n\f]'), 1) AS i FROM documents WHERE text IS NOT NULL AND doc_id IS NOT NULL),
+      pl AS (SELECT doc_id, piece, CAST(sum(length(piece) + 1) OVER (PARTITION BY doc_id ORDER BY i ROWS UNBOUNDED PRECEDING) AS INT) - 1 AS stop FROM cu), tk AS (SELECT doc_id AS record_id, CAST(stop - length(piece) AS INT) AS start, stop AS "end" FROM pl WHERE piece <> '')"""
+
+
+def _labels(entities: str, out: str) -> str:
+    return f"""{out}e AS (SELECT DISTINCT record_id, start, "end", type FROM {entities} WHERE record_id IS NOT NULL AND start < "end" AND type IS NOT NULL),
+      {out}h AS (SELECT x.record_id, x.start, x."end", min((y."end" - y.start, y.start, y.type)) AS e FROM tk x JOIN {out}e y ON {MEETS} GROUP BY ALL),
+      {out}l AS (SELECT record_id, start, "end", CASE WHEN e IS NULL THEN 'O' WHEN e = lag(e) OVER (PARTITION BY record_id ORDER BY start, "end") THEN 'I-' || e[3] ELSE 'B-' || e[3] END AS label FROM tk LEFT JOIN {out}h USING (record_id, start, "end"))"""
+
+
+SOURCES = ("rule", "lex_core", "tok_alpha", "llm_wide")
+DECODE = f"""WITH {S}, {TOKEN}, {', '.join(f"s{i} AS (SELECT * FROM s WHERE source = '{x}'), {_labels(f's{i}', f'w{i}')}" for i, x in enumerate(SOURCES))},
+      sc AS ({' UNION ALL '.join(f'SELECT * FROM w{i}l' for i in range(4))}), me AS (SELECT record_id, start, "end", label, sum(CASE WHEN label = 'O' THEN 0.25::DOUBLE ELSE 1 END) / 4 AS p FROM sc GROUP BY ALL),
+      be AS (SELECT record_id, start, "end", first(label ORDER BY p DESC, label) AS label, max(p) AS p FROM me GROUP BY record_id, start, "end"),
+      ty AS (SELECT *, CASE WHEN label <> 'O' THEN substr(label, 3) END AS type FROM be),
+      la AS (SELECT *, lag("end") OVER w AS last, lag(type) OVER w AS was FROM ty WINDOW w AS (PARTITION BY record_id ORDER BY start, "end")),
+      fr AS (SELECT la.*, CASE WHEN starts_with(label, 'B-') OR type IS DISTINCT FROM was OR coalesce(regexp_matches(substr(text, last + 1, start - last), '[\n.!?;]'), false) THEN 1 ELSE 0 END AS fresh FROM la JOIN documents ON doc_id = record_id),
+      ru AS (SELECT *, sum(fresh) OVER (PARTITION BY record_id ORDER BY start, "end" ROWS UNBOUNDED PRECEDING) AS run FROM fr)
+      SELECT record_id, min(start) AS start, max("end") AS "end", type, round(avg(p), 6) AS confidence FROM ru WHERE type IS NOT NULL GROUP BY record_id, run, type"""
+NAMES = f"nm AS (SELECT identifier AS code, unnest(list_concat([canonical], coalesce(aliases, {EMPTY}))) AS name FROM nodes)"
+HIST = "record_id IS NOT NULL AND start IS NOT NULL AND \"end\" IS NOT NULL AND type IS NOT NULL AND text IS NOT NULL AND list_contains(assertions, 'isHistorical')"
+
 ORACLE = {
+    "graph_manifest": f"""WITH {EDGES}, x AS (SELECT 'node ' || ontology AS part, sha256(identifier || chr(31) || coalesce(canonical, '')) AS h FROM nodes UNION ALL SELECT 'edge ' || relation, sha256(source || chr(31) || target) FROM ed)
+      SELECT part, count(*) AS n, CAST(sum(CAST(('0x' || substr(h, 1, 8)) AS BIGINT)) AS VARCHAR) AS digest FROM x GROUP BY part""",
+    "graph_union": """WITH x AS (SELECT identifier, ontology, 0 AS graph FROM nodes WHERE ontology = 'WHO_ICD10_2019' UNION ALL SELECT identifier, ontology, 1 FROM nodes WHERE ontology <> 'WHO_ICD10_2019' UNION ALL SELECT identifier, ontology, 2 FROM nodes WHERE length(identifier) = 3),
+      n AS (SELECT identifier, count(DISTINCT graph) AS graphs FROM x GROUP BY identifier) SELECT identifier, ontology, graph, 1 AS graphs FROM x JOIN n USING (identifier) WHERE graphs = 1 UNION ALL SELECT identifier, NULL, NULL, graphs FROM n WHERE graphs > 1""",
+    "weak_links": f"""WITH {S}, k AS (SELECT record_id, start, "end", text, type, unnest(list_distinct(candidates)) AS code FROM s WHERE type IN ('CHẨN_ĐOÁN', 'THUỐC') AND text IS NOT NULL AND len(candidates) > 0),
+      c AS (SELECT record_id, start, "end", text, type, string_agg(DISTINCT code, '|' ORDER BY code) AS codes FROM k WHERE code IN (SELECT identifier FROM nodes) GROUP BY ALL),
+      j AS (SELECT c.type, {PHRASE.replace('text', 'c.text')} AS mention, codes, record_id, start, c.text, substr(d.text, greatest(start - 40, 0) + 1, least(start, 40)) || '⟦' || c.text || '⟧' || substr(d.text, "end" + 1, 40) AS context
+        FROM c JOIN documents d ON doc_id = record_id WHERE start >= 0 AND start < "end" AND substr(d.text, start + 1, "end" - start) = c.text),
+      n AS (SELECT *, row_number() OVER (PARTITION BY type, mention, codes ORDER BY record_id, start, text) AS n FROM j)
+      SELECT type, mention, codes, count(*) AS uses, count(DISTINCT record_id) AS records, string_agg(context, ' ¦ ' ORDER BY n) FILTER (n <= 3) AS contexts,
+      CASE {_hash('mention')} % 10 WHEN 0 THEN 'test' WHEN 1 THEN 'dev' ELSE 'train' END AS fold FROM n GROUP BY type, mention, codes""",
+    "resolution_changes": f"""WITH {S}, {NAMES}, l AS (SELECT {PHRASE.replace('text', 'name')} AS key, list_sort(list_distinct(list(code))) AS found FROM nm WHERE name IS NOT NULL AND code IS NOT NULL GROUP BY 1),
+      x AS (SELECT type, {PHRASE} AS key, list_sort(list_distinct(list_filter(coalesce(candidates, {EMPTY}), lambda x: x IS NOT NULL))) AS had FROM s WHERE type IN ('CHẨN_ĐOÁN', 'THUỐC') AND text IS NOT NULL), y AS (SELECT type, had, coalesce(found, {EMPTY}) AS found FROM x LEFT JOIN l USING (key))
+      SELECT type, CASE WHEN had = found THEN 'same' WHEN len(had) = 0 THEN 'gained' WHEN len(found) = 0 THEN 'lost' ELSE 'changed' END AS change, count(*) AS n FROM y GROUP BY 1, 2""",
+    "bio_labels": f"""WITH {BC}, {TOKEN}, {_labels('c', 'z')} SELECT record_id, start, "end", label FROM zl""",
+    "bio_decode": DECODE,
+    "outermost_spans": f"""WITH {BC}, {KEYS} SELECT * FROM ck x WHERE NOT EXISTS (SELECT 1 FROM ck y WHERE x.record_id = y.record_id AND x.type <> y.type AND y.start <= x.start AND x."end" <= y."end" AND y."end" - y.start > x."end" - x.start)""",
+    "passage_coverage": f"""WITH {S}, {LINES}, {GROUPS}, {OCC}, {PASSAGE_ENTITIES}, n AS (SELECT passage, count(DISTINCT doc_id) AS occurrences FROM o GROUP BY passage), h AS (SELECT DISTINCT passage, record_id, start, "end", type FROM ent),
+      e AS (SELECT passage, count(*) AS present, count(DISTINCT (start, "end", type)) AS entities FROM h GROUP BY passage) SELECT passage, occurrences, entities, present, occurrences * entities - present AS missing FROM n JOIN e USING (passage)""",
+    "assertion_additions": f"""WITH {BC}, x AS (SELECT DISTINCT record_id, start, "end", type, text FROM c WHERE {HIST}), y AS (SELECT DISTINCT record_id, start, "end", type FROM b WHERE {HIST}), z AS (SELECT * FROM x ANTI JOIN y USING (record_id, start, "end", type)),
+      k AS (SELECT CASE WHEN type = 'THUỐC' THEN 'drug' WHEN regexp_matches(text, '[0-9]') THEN 'number' WHEN len(string_split(text, ' ')) > 3 THEN 'long' ELSE 'other' END AS category, lower(text) AS e FROM z),
+      f AS (SELECT DISTINCT category, e FROM k QUALIFY dense_rank() OVER (PARTITION BY category ORDER BY e) <= 5) SELECT category, n, examples FROM (SELECT category, count(*) AS n FROM k GROUP BY category) JOIN (SELECT category, string_agg(e, '|' ORDER BY e) AS examples FROM f GROUP BY category) USING (category)""",
+    "relation_census": f"""WITH {BC}, {KEYS}, j AS (SELECT x.record_id, x.start, x."end", x.type, bool_or(x.type = y.type AND y.start <= x.start AND x."end" <= y."end") AS i, bool_or(x.type = y.type AND x.start <= y.start AND y."end" <= x."end") AS a, bool_or(x.type = y.type) AS e, count(y.record_id) AS n
+      FROM ck x LEFT JOIN bk y ON {MEETS} GROUP BY ALL) SELECT type, CASE WHEN n = 0 THEN 'disjoint' WHEN i THEN 'contained_same_type' WHEN a THEN 'contains_same_type' WHEN NOT e THEN 'cross_type' ELSE 'partial_same_type' END AS relation, count(*) AS n FROM j GROUP BY 1, 2""",
+    "control_pool": f"""WITH {BC}, u AS (SELECT record_id, start, "end", type, count(DISTINCT source) AS support FROM s WHERE record_id IS NOT NULL AND start IS NOT NULL AND "end" IS NOT NULL AND type IS NOT NULL AND source IS NOT NULL GROUP BY ALL HAVING count(DISTINCT source) >= 2),
+      p AS (SELECT DISTINCT u.*, concat_ws(':', record_id, start, "end", type) AS k FROM u JOIN b USING (record_id, start, "end", type)) SELECT record_id, start, "end", type, support, CAST(row_number() OVER (PARTITION BY type ORDER BY {_hash("'control'", 'k')}, k) AS INT) AS place FROM p QUALIFY place <= 12""",
+    "ordered_union": f"""WITH {BC}, x AS (SELECT record_id, start, "end", type, min(candidates) AS a FROM b WHERE record_id IS NOT NULL AND start IS NOT NULL AND "end" IS NOT NULL AND type IS NOT NULL AND len(candidates) > 0 GROUP BY ALL),
+      y AS (SELECT record_id, start, "end", type, min(candidates) AS c FROM c WHERE record_id IS NOT NULL AND start IS NOT NULL AND "end" IS NOT NULL AND type IS NOT NULL AND len(candidates) > 0 GROUP BY ALL),
+      j AS (SELECT record_id, start, "end", type, list_filter(list_concat(coalesce(a, {EMPTY}), coalesce(c, {EMPTY})), lambda v: v IS NOT NULL) AS l FROM x FULL JOIN y USING (record_id, start, "end", type))
+      SELECT record_id, start, "end", type, array_to_string(list_filter(l, lambda v, i: list_position(l, v) = i), '|') AS codes FROM j""",
     "normalize_keys": rf"""WITH {S} SELECT DISTINCT text, trim(regexp_replace(strip_accents({_compatible('text')}), '\s+', ' ', 'g')) AS key FROM s WHERE text IS NOT NULL""",
     "context_assertions": _assertions(),
     "greedy_non_overlap": GREEDY,

@@ -10,7 +10,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from spanloom.functions import text as T
-from spanloom.operators import evaluate, extract, generate, learn, merge, quality, retrieve, sample, scope, spans, votes
+from spanloom.operators import evaluate, extract, generate, ground, learn, merge, quality, retrieve, sample, scope, spans, votes
 from spanloom.session import table
 
 RULES, MODELS = ("rule", "lex_core"), ("tok_alpha", "llm_wide")
@@ -283,6 +283,42 @@ def transition_matrix(spark, d):
     return votes.transition(a, b, ["record_id", "text", "type"], value)
 
 
+@query
+def assertion_additions(spark, d):
+    """Places that the challenger holds historical and the baseline doesn't, by what stands before them."""
+    key = ["record_id", "start", "end", "type"]
+    past = lambda s: s.dropna(subset=[*key, "text"]).where("array_contains(assertions, 'isHistorical')")
+    a, b = _snapshots(spark, d)
+    new = past(b).select(*key, "text").distinct().join(past(a).select(*key).distinct(), key, "left_anti")
+    category = F.when(F.col("type") == "THUỐC", "drug").when(F.col("text").rlike("[0-9]"), "number").when(F.size(F.split("text", " ")) > 3, "long").otherwise("other")
+    return votes.category_examples(new, category, F.lower("text"))
+
+
+@query
+def relation_census(spark, d):
+    base, new = _snapshots(spark, d)
+    return spans.relation(new, base).groupBy("type", "relation").agg(F.count("*").alias("n"))
+
+
+@query
+def control_pool(spark, d):
+    """Baseline keys that three sources or more have, twelve of each type by hash."""
+    key = ["record_id", "start", "end", "type"]
+    every = _spans(spark, d).dropna(subset=[*key, "source"])
+    support = every.groupBy(*key).agg(F.countDistinct("source").alias("support")).where("support >= 2")
+    pool = _snapshots(spark, d)[0].dropna(subset=key).select(*key).distinct().join(support, key).withColumn("k", F.concat_ws(":", *key))
+    return sample.pick(pool, ["type"], "k", 12, "control").select(*key, "support", "place")
+
+
+@query
+def ordered_union(spark, d):
+    key = ["record_id", "start", "end", "type"]
+    least = lambda s, n: s.dropna(subset=key).where("size(candidates) > 0").groupBy(*key).agg(F.min("candidates").alias(n))
+    a, b = _snapshots(spark, d)
+    j = least(a, "a").join(least(b, "b"), key, "full_outer")
+    return j.select(*key, F.array_join(T.ordered_union("a", "b"), "|").alias("codes"))
+
+
 @query
 def vote_states(spark, d):
     m = votes.vote_matrix(table(spark, d, "proposals"))
@@ -565,6 +601,16 @@ def gate_simulation(spark, d):
     return sample.simulate_gate(spark, (8, 15), (0.0, 0.5), (0.0, 0.3, 0.6, 0.9), sample.NOISE, replications=5_000, rounds=1_000)
 
 
+@query
+def interval_methods(spark, d):
+    return sample.interval_methods(spark)
+
+
+@query
+def power_curve(spark, d):
+    return sample.power_summary(sample.interval_methods(spark, kinds=("normal",)))
+
+
 # ---- retrieval and concepts ----
 
 
@@ -657,6 +703,80 @@ def code_display(spark, d):
     return c.select("code", T.compact_code("code").alias("compact"), T.display_code("code").alias("display"), T.parent_code("code").alias("parent"))
 
 
+@query
+def sibling_rows(spark, d):
+    return retrieve.sibling_rows(retrieve.textual_edges(table(spark, d, "nodes")))
+
+
+@query
+def graph_manifest(spark, d):
+    n = table(spark, d, "nodes")
+    return retrieve.graph_manifest(n, retrieve.textual_edges(n))
+
+
+@query
+def graph_union(spark, d):
+    n = table(spark, d, "nodes", "identifier", "ontology")
+    every, twice = retrieve.graph_union(n.where("ontology = 'WHO_ICD10_2019'"), n.where("ontology <> 'WHO_ICD10_2019'"), n.where("length(identifier) = 3"))
+    return every.select("identifier", "ontology", "graph", F.lit(1).alias("graphs")).unionByName(twice.select("identifier", "graphs"), allowMissingColumns=True)
+
+
+@query
+def weak_links(spark, d):
+    n = table(spark, d, "nodes", "identifier")
+    return votes.weak_links(_spans(spark, d).where("type in ('CHẨN_ĐOÁN', 'THUỐC')"), _docs(spark, d), n)
+
+
+@query
+def resolution_changes(spark, d):
+    return votes.resolution_diff(_spans(spark, d), _names(spark, d).select(T.phrase_key("name").alias("key"), "code"), evaluate.CODED)
+
+
+# ---- grounding and labels ----
+
+
+@query
+def grounded_mentions(spark, d):
+    m = table(spark, d, "evidence", "record_id", "text", "type")
+    return ground.ground(m, _docs(spark, d))
+
+
+@query
+def bio_labels(spark, d):
+    docs = _docs(spark, d)
+    return ground.bio_labels(ground.word_tokens(docs), _snapshots(spark, d)[1])
+
+
+@query
+def bio_decode(spark, d):
+    """Tokens as each extractor labels them, as if they were windows of one model: the mean decides."""
+    docs, s = _docs(spark, d), _spans(spark, d)
+    tokens = ground.word_tokens(docs)
+    scored = None
+    for source in (*RULES, *MODELS):
+        own = ground.bio_labels(tokens, s.where(F.col("source") == source)).withColumn("p", F.when(F.col("label") == "O", 0.25).otherwise(1.0))
+        scored = own if scored is None else scored.unionByName(own)
+    # labels that a source doesn't give have no share of it
+    total = scored.groupBy("record_id", "start", "end", "label").agg((F.sum("p") / 4).alias("p"))
+    return ground.bio_decode(total, docs)
+
+
+@query
+def near_equal_spans(spark, d):
+    return ground.near_equal(_spans(spark, d))
+
+
+@query
+def outermost_spans(spark, d):
+    return ground.outermost(_snapshots(spark, d)[1])
+
+
+@query
+def passage_coverage(spark, d):
+    o = generate.passage_occurrences(_docs(spark, d)).select("passage", F.col("doc_id").alias("record_id"))
+    return quality.occurrence_coverage(_passage_entities(spark, d), o)
+
+
 # ---- models ----
 
 
