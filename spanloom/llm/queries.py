@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from spanloom.llm import consensus, linking, lookalike, overlap, packing, private, shared, tokenize
+from spanloom.llm.oracle import ORACLE  # noqa: F401 (read with QUERIES)
 from spanloom.session import table
 
 
@@ -77,4 +78,3 @@ QUERIES = {q.__name__: q for q in (
     p1_found, p1_forms, p2_found, p2_unmatched, p3_found, p3_amount, p4_found, p4_agreement, p4_reliability,
     p5_found, p5_report, p6_ids, p7_packing, p8_found, p8_redacted,
 )}
-ORACLE: dict[str, str] = {}
