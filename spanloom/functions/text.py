@@ -182,6 +182,25 @@ def parent_code(c: Column | str) -> Column:
     return F.when(F.length(_col(c)) > 3, F.substring(_col(c), 1, 3))
 
 
+def strength(c: Column | str) -> Column:
+    """The first dose of a folded mention as "number unit": decimals with a point, a range as written, no trailing zeros; empty if there is none."""
+    found = F.regexp_substr(_col(c), F.lit(r"\d+(?:[.,]\d+)?(?:\s*-\s*\d+(?:[.,]\d+)?)?\s*(?:mcg|mg|ml|g)(?![\p{L}\p{N}_])"))
+    return F.coalesce(_dose(found), F.lit(""))
+
+
+def _dose(found: Column) -> Column:
+    number = F.regexp_replace(F.regexp_replace(F.trim(F.regexp_replace(found, "(mg|mcg|ml|g)$", "")), ",", "."), r"\.0+(?=\s|$)", "")
+    return F.concat_ws(" ", number, F.regexp_extract(found, "(mg|mcg|ml|g)$", 1))
+
+
+def route(c: Column | str) -> Column:
+    """``injection`` or ``oral`` where a folded context says so, else empty; an injection first."""
+    words = F.concat(F.lit(" "), F.regexp_replace(_col(c), r"[^\p{L}\p{N}]+", " "), F.lit(" "))
+    inject = words.rlike(" iv | (tiem|inject)|tinh mach")
+    oral = words.rlike(" po | uong|oral")
+    return F.when(inject, "injection").when(oral, "oral").otherwise("")
+
+
 def text_similarity(a: Column | str, b: Column | str) -> Column:
     """1 less the word edit distance over the words of ``a`` (it can be negative); of two empty texts 1, of an empty ``a`` alone 0."""
     x, y = words(F.coalesce(_col(a), F.lit(""))), words(F.coalesce(_col(b), F.lit("")))

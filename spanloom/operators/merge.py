@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from spanloom.functions.text import route as route_of
+from spanloom.functions.text import strength as strength_of
 from spanloom.operators.spans import KEY, disjoint, keys, overlapping
 
 
@@ -114,6 +116,72 @@ def best_product(mentions: DataFrame, products: DataFrame) -> DataFrame:
     return m.join(best, "mention", "left").select("mention", F.col("x.product").alias("product"))
 
 
+#: Of names for one drug which comes first, and what a product's kind adds to its score (fixed values).
+NAME_RANK = {"IN": 4, "PIN": 3, "MIN": 2, "BN": 1}
+PRODUCT_BONUS = {"SCD": 8, "SBD": 7, "SCDF": 5, "SBDF": 4, "SCDG": 3, "SBDG": 2}
+_WORDS = r"([a-z0-9'-]+)"
+
+
+def _runs(df: DataFrame, text: str, most: int = 5) -> DataFrame:
+    """Each run of up to ``most`` words of a folded text, as ``run``."""
+    words = df.withColumn("_w", F.regexp_extract_all(text, F.lit(_WORDS), F.lit(1)))
+    at = F.explode(F.flatten(F.transform(F.sequence(F.lit(1), F.size("_w")), lambda i: F.transform(F.sequence(F.lit(1), F.least(F.lit(most), F.size("_w") - i + 1)), lambda n: F.array_join(F.slice("_w", i, n), " ")))))
+    return words.where(F.size("_w") > 0).withColumn("run", at).drop("_w").distinct()
+
+
+def _look_up(value: Column, table: dict[str, int]) -> Column:
+    return F.coalesce(F.element_at(F.create_map(*(F.lit(x) for kv in table.items() for x in kv)), value), F.lit(0))
+
+
+def product_strengths(products: DataFrame) -> DataFrame:
+    """``product, strength``: doses in a product's folded name, and the whole dose of a volume of a concentration ("4 ml x 10 mg/ml" is also 40 mg)."""
+    each = F.regexp_extract_all("norm", F.lit(r"(\d+(?:\.\d+)?\s*(?:mg|g|mcg|ml|unit))(?:/ml)?\b"), F.lit(1))
+    plain = products.select("product", F.explode(each).alias("s")).select("product", F.regexp_replace("s", r"^([0-9.]+)\s*", "$1 ").alias("strength"))
+    rule = r"(\d+(?:\.\d+)?)\s*ml\s+.*?(\d+(?:\.\d+)?)\s*(mg|g|mcg)/ml\b"
+    of = lambda i: F.regexp_extract("norm", rule, i)
+    total = F.regexp_replace(F.round(of(1).try_cast("double") * of(2).try_cast("double"), 6).cast("string"), r"\.0$", "")
+    whole = products.where(F.col("norm").rlike(rule)).select("product", F.concat_ws(" ", total, of(3)).alias("strength"))
+    return plain.unionByName(whole).distinct()
+
+
+def resolve_drugs(mentions: DataFrame, names: DataFrame, products: DataFrame, brands: DataFrame, index: DataFrame, strict: bool = False) -> DataFrame:
+    """``mention, around, code, stage`` of each distinct folded ``mention`` with what stands ``around`` it (where a route may be), by stages:
+
+    ``index`` where curated or indexed for the ingredient and strength; ``name`` of a mention without a strength; ``product`` of the ingredient with that
+    strength and route (by kind and words in common, then the least number); ``name`` again, unless a route is given or ``strict``. The ingredient is the longest
+    listed name in the mention, then by kind of name; with a route a brand is its generic. No stage: null.
+
+    ``names``: ``name, code, tty``; ``products``: ``product, tty, norm``; ``brands``: ``code, generic``; ``index``: ``ingredient, strength, code`` (empty strength: none
+    given), of which the least code counts. All folded.
+    """
+    m = mentions.dropna(subset=["mention"]).select("mention", F.coalesce("around", "mention").alias("around")).distinct()
+    m = m.withColumn("strength", strength_of("mention")).withColumn("route", route_of("around"))
+    listed = names.dropna().withColumn("k", _look_up(F.col("tty"), NAME_RANK))
+    best = _runs(m.select("mention").distinct(), "mention").join(listed, F.col("run") == F.col("name")).groupBy("mention").agg(
+        F.max(F.struct(F.length("name").alias("n"), "k", "name", "code", "tty")).alias("x")
+    )
+    j = m.join(best.select("mention", F.col("x.name").alias("name"), F.col("x.code").alias("code"), F.col("x.tty").alias("tty")), "mention", "left")
+    j = j.join(brands.dropna().groupBy("code").agg(F.min("generic").alias("generic")), "code", "left")
+    j = j.withColumn("ingredient", F.when((F.col("tty") == "BN") & (F.col("route") != ""), F.coalesce("generic", "name")).otherwise(F.col("name")))
+    i = index.dropna().groupBy("ingredient", "strength").agg(F.min("code").alias("indexed"))
+    j = j.join(i, ["ingredient", "strength"], "left")
+    indexed = F.when(F.col("route") == "", F.col("indexed"))
+    # products: those whose name has the ingredient as words
+    p = _runs(products.dropna().select("product", "tty", "norm"), "norm").withColumnRenamed("run", "ingredient").join(product_strengths(products), "product")
+    words = lambda c: F.array_distinct(F.regexp_extract_all(c, F.lit("([a-z0-9.]+)"), F.lit(1)))
+    also = F.array_compact(F.array(*(F.when(F.array_contains(words(F.col("mention")), k), v) for k, v in (("po", "oral"), ("xl", "extended"), ("xr", "extended"), ("er", "extended"), ("sr", "extended"), ("iv", "injection")))))
+    said = F.array_union(words(F.col("mention")), also)
+    common = F.size(F.array_intersect(said, words(F.col("norm")))) / F.greatest(F.size(F.array_union(said, words(F.col("norm")))), F.lit(1))
+    want = j.where("strength <> '' and ingredient is not null").select("mention", "around", "ingredient", "strength", "route")
+    near = want.join(p.withColumnRenamed("tty", "p_tty"), ["ingredient", "strength"]).where((F.col("route") == "") | F.expr("contains(norm, route)"))
+    ranked = near.groupBy("mention", "around").agg(F.min(F.struct((-F.round(100 + _look_up(F.col("p_tty"), PRODUCT_BONUS) + 20 * common, 6)).alias("s"), F.col("product").try_cast("bigint").alias("n"), "product")).alias("x"))
+    j = j.join(ranked.select("mention", "around", F.col("x.product").alias("product")), ["mention", "around"], "left")
+    bare = F.when(F.col("strength") == "", F.col("code"))
+    rest = F.when((F.col("route") == "") & (F.lit(not strict) | (F.col("strength") == "")), F.col("code"))
+    stage = F.when(indexed.isNotNull(), "index").when(bare.isNotNull(), "name").when(F.col("product").isNotNull(), "product").when(rest.isNotNull(), "name")
+    return j.select("mention", "around", F.coalesce(indexed, bare, F.col("product"), rest).alias("code"), stage.alias("stage"))
+
+
 def longest_contained(mentions: DataFrame, phrases: DataFrame, most: int = 12) -> DataFrame:
     """Of each mention the longest listed phrase that stands in it on word bounds (least on ties): word runs joined to the list."""
     words = F.split(F.trim("mention"), " +")

@@ -146,6 +146,12 @@ ORACLE = {
       SELECT part, count(*) AS n, CAST(sum(CAST(('0x' || substr(h, 1, 8)) AS BIGINT)) AS VARCHAR) AS digest FROM x GROUP BY part""",
     "graph_union": """WITH x AS (SELECT identifier, ontology, 0 AS graph FROM nodes WHERE ontology = 'WHO_ICD10_2019' UNION ALL SELECT identifier, ontology, 1 FROM nodes WHERE ontology <> 'WHO_ICD10_2019' UNION ALL SELECT identifier, ontology, 2 FROM nodes WHERE length(identifier) = 3),
       n AS (SELECT identifier, count(DISTINCT graph) AS graphs FROM x GROUP BY identifier) SELECT identifier, ontology, graph, 1 AS graphs FROM x JOIN n USING (identifier) WHERE graphs = 1 UNION ALL SELECT identifier, NULL, NULL, graphs FROM n WHERE graphs > 1""",
+    "drug_codes": rf"""WITH {S}, m AS (SELECT DISTINCT lower(trim(regexp_replace(text, '[ \t\r\n\f]+', ' ', 'g'))) AS mention FROM s WHERE text IS NOT NULL AND type = 'THUỐC'),
+      n AS (SELECT lower(trim(regexp_replace(unnest(list_concat([canonical], coalesce(aliases, {EMPTY}))), '[ \t\r\n\f]+', ' ', 'g'))) AS name, identifier AS code, semantic_type AS tty FROM nodes WHERE ontology <> 'WHO_ICD10_2019'),
+      w AS (SELECT mention, regexp_extract_all(mention, '[a-z0-9''-]+') AS w FROM m), a AS (SELECT mention, w, unnest(range(1, len(w) + 1)) AS i FROM w), g AS (SELECT DISTINCT mention, array_to_string(w[i : i + k - 1], ' ') AS run FROM (SELECT *, unnest(range(1, least(5, len(w) - i + 1) + 1)) AS k FROM a)),
+      b AS (SELECT mention, last(code ORDER BY length(name), CASE tty WHEN 'IN' THEN 4 WHEN 'PIN' THEN 3 WHEN 'MIN' THEN 2 WHEN 'BN' THEN 1 ELSE 0 END, name, code, tty) AS code FROM g JOIN n ON run = name WHERE code IS NOT NULL AND tty IS NOT NULL GROUP BY mention),
+      p AS (SELECT mention, ' ' || regexp_replace(mention, '[^\p{{L}}\p{{N}}]+', ' ', 'g') || ' ' AS x, regexp_matches(mention, '\d\s*(mcg|mg|ml|g)([^\p{{L}}\p{{N}}_]|$)') AS dose FROM m)
+      SELECT mention, CASE WHEN dose AND regexp_matches(x, ' iv | (tiem|inject)|tinh mach| po | uong|oral') THEN NULL ELSE code END AS code, CASE WHEN code IS NOT NULL AND NOT (dose AND regexp_matches(x, ' iv | (tiem|inject)|tinh mach| po | uong|oral')) THEN 'name' END AS stage FROM p LEFT JOIN b USING (mention)""",
     "weak_links": f"""WITH {S}, k AS (SELECT record_id, start, "end", text, type, unnest(list_distinct(candidates)) AS code FROM s WHERE type IN ('CHẨN_ĐOÁN', 'THUỐC') AND text IS NOT NULL AND len(candidates) > 0),
       c AS (SELECT record_id, start, "end", text, type, string_agg(DISTINCT code, '|' ORDER BY code) AS codes FROM k WHERE code IN (SELECT identifier FROM nodes) GROUP BY ALL),
       j AS (SELECT c.type, {PHRASE.replace('text', 'c.text')} AS mention, codes, record_id, start, c.text, substr(d.text, greatest(start - 40, 0) + 1, least(start, 40)) || '⟦' || c.text || '⟧' || substr(d.text, "end" + 1, 40) AS context

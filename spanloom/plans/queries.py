@@ -849,12 +849,15 @@ def contained_phrase(spark, d):
 
 
 @query
-def product_choice(spark, d):
-    s = _spans(spark, d).where("text is not null and type = 'THUỐC'").select(T.phrase_key("text").alias("mention")).distinct()
-    strength = F.nullif(F.regexp_extract("mention", r"([0-9]+(?:[.,][0-9]+)? ?(?:mg|ml|g))", 1), F.lit(""))
-    m = s.select("mention", F.get(F.split("mention", " "), F.lit(0)).alias("ingredient"), strength.alias("strength"))
-    p = _names(spark, d).select(T.phrase_key("name").alias("ingredient"), F.col("code").alias("product"), F.explode(F.array(F.lit(None).cast("string"), F.lit("10 mg"), F.lit("1 g"))).alias("strength"), F.col("name").alias("term"))
-    return merge.best_product(m, p)
+def drug_codes(spark, d):
+    """Drug mentions by the listed names; the tables hold no products, brands or index."""
+    fold = lambda c: F.lower(F.trim(F.regexp_replace(c, "[ \t\r\n\f]+", " ")))
+    n = table(spark, d, "nodes", "identifier", "ontology", "canonical", "aliases", "semantic_type").where("ontology <> 'WHO_ICD10_2019'")
+    names = n.select(F.explode(F.concat(F.array("canonical"), F.coalesce("aliases", F.array().cast("array<string>")))).alias("name"), F.col("identifier").alias("code"), F.col("semantic_type").alias("tty"))
+    m = _spans(spark, d).where("text is not null and type = 'THUỐC'").select(fold("text").alias("mention")).distinct().withColumn("around", F.col("mention"))
+    empty = lambda kind: spark.createDataFrame([], kind)
+    products, brands, index = empty("product string, tty string, norm string"), empty("code string, generic string"), empty("ingredient string, strength string, code string")
+    return merge.resolve_drugs(m, names.withColumn("name", fold("name")), products, brands, index).drop("around")
 
 
 @query

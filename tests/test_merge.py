@@ -119,3 +119,23 @@ def test_small_pieces(spark):
     a = spark.createDataFrame([(1, "keep"), (2, "keep")], "id bigint, decision string")
     b = spark.createDataFrame([(1, "keep"), (2, "drop"), (9, "keep")], "id bigint, decision string")
     assert rows(merge.two_pass(ids, a, b, "id", "unsure"), "id", "decision", "passes") == [(1, "keep", 2), (2, "unsure", 2), (3, "unsure", 0)]
+
+
+def test_drugs_by_stages(spark):
+    names = spark.createDataFrame([("warfarin", "11", "IN"), ("coumadin", "12", "BN"), ("insulin glargine", "13", "IN"), ("insulin", "14", "IN"), (None, "15", "IN")], "name string, code string, tty string")
+    products = spark.createDataFrame(
+        [("101", "SCD", "warfarin 3 mg oral tablet"), ("102", "SBD", "warfarin 3 mg oral tablet [coumadin]"), ("99", "SCDG", "warfarin 3 mg oral tablet"), ("103", "SCD", "4 ml warfarin 10 mg/ml injection"), (None, "SCD", "x 3 mg")],
+        "product string, tty string, norm string",
+    )
+    brands = spark.createDataFrame([("12", "warfarin")], "code string, generic string")
+    index = spark.createDataFrame([("insulin", "10 ml", "55"), ("insulin", "10 ml", "54")], "ingredient string, strength string, code string")
+    want = {
+        ("warfarin", None): ("11", "name"), ("warfarin 3,0 mg", None): ("101", "product"), ("coumadin 3mg", "po"): ("102", "product"), ("warfarin 40 mg", "tiem"): ("103", "product"), ("warfarin 40 mg", "po"): (None, None),
+        ("warfarin 7 mg", None): ("11", "name"), ("insulin glargine", None): ("13", "name"), ("insulin 10 ml", None): ("54", "index"), ("insulin 10 ml", "iv"): (None, None), ("", None): (None, None), ("la 5 mg", None): (None, None),
+    }
+    m = spark.createDataFrame([*want, *want, (None, "x")], "mention string, around string")
+    got = {(r.mention, r.around): (r.code, r.stage) for r in merge.resolve_drugs(m, names, products, brands, index).collect()}
+    assert got == {(k, a or k): v for (k, a), v in want.items()}
+    strict = {r.mention: r.code for r in merge.resolve_drugs(m, names, products, brands, index, strict=True).collect()}
+    assert strict["warfarin 7 mg"] is None and strict["warfarin"] == "11"
+    assert merge.resolve_drugs(m.limit(0), names, products.limit(0), brands.limit(0), index).count() == 0
