@@ -91,10 +91,13 @@ def bio_decode(scores: DataFrame, docs: DataFrame) -> DataFrame:
     best = mean.groupBy("record_id", "start", "end").agg(F.min(F.struct((-F.col("p")).alias("n"), "label")).alias("x")).select("record_id", "start", "end", "x.label", (-F.col("x.n")).alias("p"))
     kind = F.when(F.col("label") != "O", F.substring("label", 3, 200))
     w = Window.partitionBy("record_id").orderBy("start", "end")
+    tagged = best.withColumn("type", kind).withColumn("last", F.lag("end").over(w))
+    tagged = tagged.withColumn("fresh", (F.col("label").startswith("B-") | ~F.lag("type").over(w).eqNullSafe(F.col("type"))).cast("int"))
+    # the text is looked at only where a token would go on
     texts = docs.where("text is not null").select(F.col("doc_id").alias("record_id"), "text")
-    placed = best.withColumn("type", kind).withColumn("last", F.lag("end").over(w)).join(texts, "record_id", "left")
-    placed = placed.withColumn("ends", F.coalesce(F.substring("text", F.col("last") + 1, F.col("start") - F.col("last")).rlike("[\n.!?;]"), F.lit(False))).drop("text")
-    tagged = placed.withColumn("fresh", (F.col("label").startswith("B-") | F.col("ends") | ~F.lag("type").over(w).eqNullSafe(F.col("type"))).cast("int"))
+    gap = F.substring("text", F.col("last") + 1, F.col("start") - F.col("last"))
+    ended = tagged.where("fresh = 0 and type is not null").select("record_id", "start", "end", "last").join(texts, "record_id").where(gap.rlike("[\n.!?;]")).select("record_id", "start", "end", F.lit(1).alias("ended"))
+    tagged = tagged.join(ended, ["record_id", "start", "end"], "left").withColumn("fresh", F.greatest("fresh", F.coalesce("ended", F.lit(0))))
     runs = tagged.withColumn("run", F.sum("fresh").over(w)).where("type is not null")
     return runs.groupBy("record_id", "run", "type").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.round(F.avg("p"), 6).alias("confidence")).select(*KEY, "confidence")
 

@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from spanloom.functions.text import pieces_with_offsets
+
 # The cues, as plain phrases.
 NO = ["không", "không có", "không còn", "không bị", "không mắc", "không ghi nhận", "chưa", "chưa ghi nhận", "phủ nhận", "âm tính"]
 NO_WITHIN = ["không", "không có", "không còn", "không bị", "không mắc", "chưa", "phủ nhận"]
@@ -60,48 +62,67 @@ def of_family(line_before: Column) -> Column:
     return _holds(words, OF_FAMILY) | (~_holds(words, TOLD) & near.rlike(f" {_any(RELATIVES)}( {_any(RELATIVE_HAS)})? $"))
 
 
-def under_past_heading(before: Column) -> Column:
-    """The last numbered heading before the mention is number 1, of history and not of what is now."""
-    last = r"^[\s\S]*\n[ \t\r\f]*(\d+)\.[ \t]*([^\n]*)[\s\S]*$"
-    text = F.concat(F.lit("\n"), before)
-    heading = F.lower(F.regexp_extract(text, last, 2))
-    return F.regexp_extract(text, last, 1).rlike("^0*1$") & heading.contains("tiền sử") & ~heading.contains("hiện tại")
+def _past_heading(line: Column) -> Column:
+    """Whether a numbered heading is number 1, of history and not of what is now."""
+    heading = F.lower(F.regexp_extract(line, _NUMBERED, 2))
+    return F.regexp_extract(line, _NUMBERED, 1).rlike("^0*1$") & heading.contains("tiền sử") & ~heading.contains("hiện tại")
+
+
+_NUMBERED = r"^[ \t\r\f]*(\d+)\.[ \t]*(.*)$"
+
+
+def headings(text: Column) -> Column:
+    """Of a text its numbered lines: where each begins and whether it is a heading of history."""
+    numbered = F.filter(pieces_with_offsets(F.split(text, "\n", -1), 1), lambda x: x["piece"].rlike(r"^[ \t\r\f]*\d+\."))
+    return F.transform(numbered, lambda x: F.struct(x["start"].alias("at"), _past_heading(x["piece"]).alias("past")))
+
+
+def under_past_heading(marks: Column, start: Column, line_before: Column) -> Column:
+    """The last numbered line up to the mention is a heading of history; of the mention's own line what stands before it."""
+    line = start - F.length(line_before)
+    last = F.get(F.filter(marks, lambda x: x["at"] < line), F.size(F.filter(marks, lambda x: x["at"] < line)) - 1)
+    above = F.coalesce(last["past"], F.lit(False))
+    return F.when(line_before.rlike(r"^[ \t\r\f]*\d+\."), _past_heading(line_before)).otherwise(above)
 
 
-def historical(before: Column, after: Column, mention: Column, coded: Column, symptom: Column) -> Column:
+def historical(near: Column, line_before: Column, line_after: Column, mention: Column, section: Column, coded: Column, symptom: Column) -> Column:
     """A cue of history in the sentence; for coded types also on the line or shortly before; or a heading of history.
 
-    What is said to be now takes it back. A symptom that something was taken for ("điều trị ...") isn't historical by it.
+    What is said to be now takes it back. A symptom that something was taken for ("điều trị ...") isn't historical by it. ``near`` is what stands before.
     """
-    low = F.lower(before)
-    left, right = F.regexp_replace(low, r"^[\s\S]*[.!?;\n]", ""), F.regexp_extract(F.lower(after), r"^[^.!?;\n]*", 0)
-    sentence = F.concat(left, F.lower(mention), right)
-    line = F.concat(F.regexp_replace(low, r"^[\s\S]*\n", ""), F.lower(mention), F.regexp_extract(F.lower(after), r"^[^\n]*", 0))
+    low, left, right, own = F.lower(near), F.lower(line_before), F.lower(line_after), F.lower(mention)
+    sentence = F.concat(F.regexp_replace(left, r"^.*[.!?;]", ""), own, F.regexp_extract(right, r"^[^.!?;]*", 0))
+    line = F.concat(left, own, right)
     now_near = _holds(line, NOW)
     for phrase in NOW:
         now_near = now_near | F.right(low, F.lit(NOW_REACH + len(phrase))).contains(phrase)
     past = _holds(sentence, PAST) & ~_holds(sentence, NOW)
     past = F.when(coded, (past | _holds(line, PAST) | _holds(F.right(low, F.lit(PAST_REACH)), PAST)) & ~now_near).otherwise(past)
-    taken_for = F.regexp_like(sentence, F.concat(F.lit(r"điều trị\s+[^.]{0,50}\Q"), F.replace(F.lower(mention), F.lit("\\E"), F.lit("")), F.lit(r"\E")))
-    return (past | under_past_heading(before)) & ~(symptom & taken_for)
+    taken_for = F.regexp_like(sentence, F.concat(F.lit(r"điều trị\s+[^.]{0,50}\Q"), F.replace(own, F.lit("\\E"), F.lit("")), F.lit(r"\E")))
+    return (past | section) & ~(symptom & taken_for)
 
 
 def assertions(spans: DataFrame, docs: DataFrame, types: tuple[str, ...], coded: tuple[str, ...] = (), symptom: str = "") -> DataFrame:
     """``record_id, start, end, type`` of distinct spans with ``isHistorical, isFamily, isNegated`` where the context says so, in this order.
 
-    Types not in ``types`` have none. Spans without complete positions in a text are out.
+    Types not in ``types`` have none. Spans without complete positions in a text are out. Headings are found once a text; a mention takes its line and
+    what stands shortly before it, so that no rule reads the whole text again.
     """
     s = spans.dropna(subset=["record_id", "start", "end", "type"]).select(F.col("record_id").alias("doc_id"), "start", "end", "type").distinct()
-    d = docs.where("doc_id is not null and text is not null").select("doc_id", "text")
+    d = docs.where("doc_id is not null and text is not null").select("doc_id", "text", headings(F.col("text")).alias("marks"))
     j = s.join(d, "doc_id").where((F.col("start") >= 0) & (F.col("end") <= F.length("text")) & (F.col("start") < F.col("end")))
-    plain = j.where(~F.col("type").isin(*types)).select("doc_id", "start", "end", "type", F.array().cast("array<string>").alias("assertions"))
-    j = j.where(F.col("type").isin(*types)).select(
-        "doc_id", "start", "end", "type", F.substring("text", F.lit(1), F.col("start")).alias("before"),
-        F.substring("text", F.col("start") + 1, F.col("end") - F.col("start")).alias("mention"), F.substring("text", F.col("end") + 1, F.length("text")).alias("after"),
-    )
-    before, mention = F.col("before"), F.col("mention")
-    on_line = F.regexp_replace(before, r"^[\s\S]*\n", "")
-    past = historical(before, F.col("after"), mention, F.col("type").isin(*coded) if coded else F.lit(False), F.col("type") == symptom)
-    found = F.array_compact(F.array(F.when(past, "isHistorical"), F.when(of_family(on_line), "isFamily"), F.when(negated(on_line, mention), "isNegated")))
-    out = j.select("doc_id", "start", "end", "type", found.alias("assertions")).unionByName(plain)
+    none = F.array().cast("array<string>")
+    before, mention = F.substring("text", F.lit(1), F.col("start")), F.substring("text", F.col("start") + 1, F.col("end") - F.col("start"))
+    after = F.substring("text", F.col("end") + 1, F.length("text"))
+    reach = NOW_REACH + max(map(len, NOW))
+    # cut to what the rules need, and kept apart from them, lest each rule cuts again
+    j = j.select(
+        "doc_id", "start", "end", "type", "marks", mention.alias("mention"), F.substring_index(before, "\n", -1).alias("left"), F.substring_index(after, "\n", 1).alias("right"),
+        F.substring("text", F.greatest(F.col("start") - reach, F.lit(0)) + 1, F.least(F.col("start"), F.lit(reach))).alias("near"), F.rand(1).alias("_apart"),
+    ).where("_apart >= 0")
+    left, mention = F.col("left"), F.col("mention")
+    section = under_past_heading(F.col("marks"), F.col("start"), left)
+    past = historical(F.col("near"), left, F.col("right"), mention, section, F.col("type").isin(*coded) if coded else F.lit(False), F.col("type") == symptom)
+    found = F.array_compact(F.array(F.when(past, "isHistorical"), F.when(of_family(left), "isFamily"), F.when(negated(left, mention), "isNegated")))
+    out = j.select("doc_id", "start", "end", "type", F.when(F.col("type").isin(*types), found).otherwise(none).alias("assertions"))
     return out.withColumnRenamed("doc_id", "record_id")
