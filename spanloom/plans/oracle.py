@@ -166,7 +166,7 @@ ORACLE = {
       t AS (SELECT type, mention, sum(n)::BIGINT AS uses, first(text ORDER BY n DESC, text) AS surface FROM n GROUP BY type, mention), r AS (SELECT type, mention, count(DISTINCT record_id) AS records, min(record_id) AS first_record FROM x GROUP BY type, mention)
       SELECT type, mention, surface, uses, records, first_record FROM t JOIN r USING (type, mention)""",
     "lexicon_distill": f"""WITH {S}, x AS (SELECT *, {PHRASE} AS mention FROM s WHERE type IS NOT NULL AND text IS NOT NULL AND record_id IS NOT NULL) SELECT mention, min(type) AS type, count(DISTINCT record_id) AS records FROM x GROUP BY mention HAVING min(type) = max(type) AND count(DISTINCT record_id) >= 3""",
-    "exposure_concentration": f"""WITH {S}, x AS (SELECT substr(candidates[1], 1, 3) AS family FROM s WHERE type = 'CHẨN_ĐOÁN' AND len(candidates) > 0), n AS (SELECT family, count(*) AS n FROM x WHERE family IS NOT NULL GROUP BY family), k AS (SELECT *, row_number() OVER (ORDER BY n DESC, family) AS k FROM n)
+    "exposure_concentration": f"""WITH {S}, x AS (SELECT substr(u, 1, 3) AS family FROM (SELECT unnest(candidates) AS u FROM s WHERE type = 'CHẨN_ĐOÁN')), n AS (SELECT family, count(*) AS n FROM x WHERE family IS NOT NULL GROUP BY family), k AS (SELECT *, row_number() OVER (ORDER BY n DESC, family) AS k FROM n)
       SELECT sum(n)::BIGINT AS rows, count(*) AS units, round(sum(n)::DOUBLE * sum(n) / sum(n * n), 4) AS effective, round(sum(n) FILTER (k <= 1) / sum(n), 6) AS top1_share, round(sum(n) FILTER (k <= 5) / sum(n), 6) AS top5_share, round(sum(n) FILTER (k <= 10) / sum(n), 6) AS top10_share FROM k""",
     "novelty_partition": f"""WITH {BC}, x AS (SELECT DISTINCT substr(u, 1, 3) AS family FROM (SELECT unnest(candidates) AS u FROM b WHERE type = 'CHẨN_ĐOÁN') WHERE u IS NOT NULL), y AS (SELECT record_id, substr(u, 1, 3) AS family FROM (SELECT record_id, unnest(candidates) AS u FROM c WHERE type = 'CHẨN_ĐOÁN') WHERE u IS NOT NULL)
       SELECT CASE WHEN x.family IS NOT NULL THEN 'seen' ELSE 'novel' END AS part, count(*) AS rows, count(DISTINCT y.family) AS families, count(DISTINCT record_id) AS records FROM y LEFT JOIN x ON x.family = y.family GROUP BY 1""",
@@ -212,8 +212,9 @@ ORACLE = {
       SELECT k, utility, row_number() OVER (ORDER BY utility DESC, k) = 1 AS best FROM p""",
     "prototype_centroids": """WITH x AS (SELECT label, unnest(embedding) AS x, generate_subscripts(embedding, 1) - 1 AS dim FROM embeddings), m AS (SELECT label, dim, avg(x::DOUBLE) AS m FROM x GROUP BY label, dim)
       SELECT label, CAST(dim AS INT) AS dim, round(m / sqrt(sum(m * m) OVER (PARTITION BY label)), 6) AS value FROM m""",
-    "tfidf_topk": """WITH w AS (SELECT identifier AS id, ' ' || unnest(list_filter(regexp_split_to_array(lower(canonical), '[ \\t\\r\\n]+'), lambda x: x <> '')) || ' ' AS w FROM nodes WHERE canonical IS NOT NULL), a AS (SELECT *, unnest(range(1, length(w) - 1)) AS i FROM w),
-      g AS (SELECT id, substr(w, i, 3) AS gram, count(*) AS tf FROM a GROUP BY id, substr(w, i, 3)), f AS (SELECT gram, ln((1 + (SELECT count(DISTINCT id) FROM w)) / (1 + count(*))) + 1 AS idf FROM g GROUP BY gram),
+    "tfidf_topk": f"""WITH nm AS (SELECT identifier AS code, unnest(list_concat([canonical], coalesce(aliases, {EMPTY}))) AS name FROM nodes), na AS (SELECT min(code) || ' ' || name AS id, name FROM nm WHERE name IS NOT NULL GROUP BY name),
+      w AS (SELECT id, ' ' || unnest(list_filter(regexp_split_to_array(lower(name), '[ \\t\\r\\n]+'), lambda x: x <> '')) || ' ' AS w FROM na), k AS (SELECT *, unnest([2, 3, 4, 5]) AS k FROM w), a AS (SELECT *, unnest(range(1, greatest(length(w) - k + 1, 1) + 1)) AS i FROM k),
+      g AS (SELECT id, substr(w, i, k) AS gram, count(*) AS tf FROM a GROUP BY ALL), f AS (SELECT gram, ln((1 + (SELECT count(DISTINCT id) FROM na)) / (1 + count(*))) + 1 AS idf FROM g GROUP BY gram),
       x AS (SELECT id, gram, tf * idf AS w FROM g JOIN f USING (gram)), n AS (SELECT id, gram, w / sqrt(sum(w * w) OVER (PARTITION BY id)) AS w FROM x),
       s AS (SELECT q.id AS query_id, b.id AS base_id, round(sum(q.w * b.w), 6) AS score FROM n q JOIN n b USING (gram) GROUP BY q.id, b.id), r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, base_id) AS INT) AS rank FROM s) SELECT * FROM r WHERE rank <= 5""",
     "concept_edges": f"WITH {EDGES} SELECT * FROM ed",

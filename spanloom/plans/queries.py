@@ -354,7 +354,7 @@ def lexicon_distill(spark, d):
 
 @query
 def exposure_concentration(spark, d):
-    s = _spans(spark, d).where("type = 'CHẨN_ĐOÁN' and size(candidates) > 0").select(F.substring(F.get("candidates", F.lit(0)), 1, 3).alias("family"))
+    s = _spans(spark, d).where("type = 'CHẨN_ĐOÁN'").select(F.explode("candidates").alias("code")).select(F.substring("code", 1, 3).alias("family"))
     return votes.concentration(s, "family")
 
 
@@ -655,8 +655,9 @@ def prototype_centroids(spark, d):
 
 @query
 def tfidf_topk(spark, d):
-    n = table(spark, d, "nodes", "identifier", "canonical").select(F.col("identifier").alias("id"), F.col("canonical").alias("text"))
-    return retrieve.lexical_top(n, n, 5, 3, 3)
+    """All names against all names, by grams of two to five letters."""
+    n = _names(spark, d).groupBy("name").agg(F.min("code").alias("code")).select(F.concat_ws(" ", "code", "name").alias("id"), F.col("name").alias("text"))
+    return retrieve.lexical_top(n, n, 5)
 
 
 @query

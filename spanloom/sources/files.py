@@ -74,10 +74,20 @@ def read_zip(spark: SparkSession, path: str) -> DataFrame:
     return _spans(d)
 
 
-def read_jsonl(spark: SparkSession, path: str, schema: str) -> tuple[DataFrame, DataFrame]:
-    """Rows of JSON lines, and the ids (``record_id``) that come more than once."""
+def read_jsonl(spark: SparkSession, path: str, schema: str, reviewed: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """Rows of JSON lines, and what stops their use: ids (``record_id``) that come more than once, with ``n``, and, if ``reviewed`` names
+    a column, rows where it isn't true (``reason`` says which). Callers go on if the second table is empty."""
     df = spark.read.schema(schema).json(path)
-    return df, df.groupBy("record_id").agg(F.count("*").alias("n")).where("n > 1")
+    stops = df.groupBy("record_id").agg(F.count("*").alias("n")).where("n > 1").withColumn("reason", F.lit("repeated id"))
+    if reviewed:
+        open_ = df.where(~F.coalesce(F.col(reviewed), F.lit(False))).groupBy("record_id").agg(F.count("*").alias("n")).withColumn("reason", F.lit("not reviewed"))
+        stops = stops.unionByName(open_)
+    return df, stops
+
+
+def subset(df: DataFrame, ids: DataFrame) -> DataFrame:
+    """Rows whose ``record_id`` is listed; a listed id may repeat."""
+    return df.join(ids.select("record_id").dropna().distinct(), "record_id", "left_semi")
 
 
 def read_concepts(spark: SparkSession, path: str) -> DataFrame:
@@ -101,11 +111,11 @@ def strengths(concepts: DataFrame) -> DataFrame:
 
 
 def read_codes(spark: SparkSession, path: str) -> DataFrame:
-    """Semicolon-separated classification (nine fields or more): code in field 8, title in field 9; others are out."""
+    """Semicolon-separated classification (nine fields or more): code in field 8, title in field 9; others are out. Of repeated codes the last line counts."""
     parts = F.split("value", ";", -1)
-    d = spark.read.text(path).select(parts.alias("p")).where(F.size("p") >= 9)
-    out = d.select(F.trim(F.get("p", F.lit(7))).alias("code"), F.trim(F.get("p", F.lit(8))).alias("title"))
-    return out.where(F.col("code").rlike(r"^[A-Z]\d\d(\.[0-9A-Z]+)?$")).groupBy("code").agg(F.max("title").alias("title"))
+    d = spark.read.text(path).select(parts.alias("p"), F.monotonically_increasing_id().alias("line")).where(F.size("p") >= 9)
+    out = d.select("line", F.trim(F.get("p", F.lit(7))).alias("code"), F.trim(F.get("p", F.lit(8))).alias("title"))
+    return out.where(F.col("code").rlike(r"^[A-Z]\d\d(\.[0-9A-Z]+)?$")).groupBy("code").agg(F.max_by("title", "line").alias("title"))
 
 
 def read_code_lines(spark: SparkSession, path: str) -> DataFrame:
