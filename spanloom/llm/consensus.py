@@ -51,11 +51,12 @@ def source_name(c: Column) -> Column:
 
 
 def votes(proposals: DataFrame, evidence: DataFrame) -> DataFrame:
-    """Distinct ``item_id, source, type`` of both tables with the mean ``confidence``."""
+    """Distinct ``item_id, source, type`` of both tables with the mean ``confidence``; what is no vote is one row of its item with null source and type."""
     a = proposals.select("item_id", source_name(F.col("source")).alias("source"), "type", F.col("confidence").cast("double").alias("confidence"))
-    each = F.explode(F.arrays_zip(F.col("sources").alias("source"), F.coalesce("confidences", F.array().cast("array<double>")).alias("confidence"))).alias("x")
+    each = F.explode_outer(F.arrays_zip(F.col("sources").alias("source"), F.coalesce("confidences", F.array().cast("array<double>")).alias("confidence"))).alias("x")
     b = evidence.select("item_id", "type", each).select("item_id", source_name(F.col("x.source")).alias("source"), "type", F.col("x.confidence").cast("double").alias("confidence"))
-    both = a.unionByName(b).where("item_id is not null and source is not null and source <> '' and type is not null")
+    known = F.col("source").isNotNull() & (F.col("source") != "") & F.col("type").isNotNull()
+    both = a.unionByName(b).where("item_id is not null").select("item_id", F.when(known, F.col("source")).alias("source"), F.when(known, F.col("type")).alias("type"), "confidence")
     return both.groupBy("item_id", "source", "type").agg(F.round(F.avg(F.nanvl("confidence", F.lit(None).cast("double"))), 6).alias("confidence"))
 
 
@@ -251,15 +252,15 @@ class Model:
 
 
 def _prepare(cast: DataFrame) -> tuple[DataFrame, Model]:
-    rows = cast.groupBy("source", "type").count().limit(CELLS + 1).collect()
+    rows = cast.where("source is not null").groupBy("source", "type").count().limit(CELLS + 1).collect()
     sources, types = sorted({r.source for r in rows}), sorted({r.type for r in rows})
     if max(len(sources) * LEVELS * len(types) ** 2, len(sources) ** 2) > CELLS:
         raise ValueError(f"{len(sources)} sources and {len(types)} types; their tables would have over {CELLS} cells")
     number = lambda names, c: F.create_map(*(x for i, n in enumerate(names) for x in (F.lit(n), F.lit(i))))[F.col(c)] if names else F.lit(0)
-    numbered = cast.select("item_id", (number(sources, "source") * LEVELS + level(F.col("confidence"))).alias("voter"), number(types, "type").alias("vote"))
-    # an item has at most a vote or two a source
-    each = F.array_sort(F.collect_list(F.struct("voter", "vote")))
-    items = numbered.groupBy("item_id").agg(each.alias("v")).select(F.col("item_id").cast("bigint"), F.col("v.voter").alias("voters"), F.col("v.vote").alias("votes"))
+    numbered = F.struct((number(sources, "source") * LEVELS + level(F.col("confidence"))).alias("voter"), number(types, "type").alias("vote"))
+    # an item has at most a vote or two a source, or none
+    each = F.array_sort(F.collect_list(F.when(F.col("source").isNotNull(), numbered)))
+    items = cast.groupBy("item_id").agg(each.alias("v")).select(F.col("item_id").cast("bigint"), F.col("v.voter").alias("voters"), F.col("v.vote").alias("votes"))
     return cut(items), Model(sources, types)
 
 
@@ -268,7 +269,7 @@ def consensus(proposals: DataFrame, evidence: DataFrame, sources: bool = True) -
     spark = proposals.sparkSession
     items, model = _prepare(votes(proposals, evidence))
     if model.sources:
-        model.fit(items)
+        model.fit(items.where(F.size("voters") > 0))
     source, prior, members, types = model.source, model.prior, model.members, model.types
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -280,13 +281,12 @@ def consensus(proposals: DataFrame, evidence: DataFrame, sources: bool = True) -
             n = each.sum(axis=1)
             pairs = (each * (each - 1)).sum(axis=1)
             agreement = pa.array((pairs / np.maximum(n * (n - 1), 1)).round(6), mask=n < 2)  # one vote has no agreement
-            labels = pa.array(types).take(pa.array(q.argmax(axis=1)))
-            yield pa.RecordBatch.from_arrays([part.column("item_id").take(pa.array(b.order)), labels, pa.array(q.max(axis=1).round(6)), agreement], names=["item_id", "label", "confidence", "agreement"])
+            labels = pa.array(types).take(pa.array(q.argmax(axis=1), mask=n == 0))
+            yield pa.RecordBatch.from_arrays([part.column("item_id").take(pa.array(b.order)), labels, pa.array(q.max(axis=1).round(6), mask=n == 0), agreement], names=["item_id", "label", "confidence", "agreement"])
 
-    labels = items.mapInArrow(run, "item_id bigint, label string, confidence double, agreement double")
-    known = proposals.select("item_id").union(evidence.select("item_id")).where("item_id is not null").select(F.col("item_id").cast("bigint")).distinct()
-    found = known.join(labels, "item_id", "left")
+    kind = "item_id bigint, label string, confidence double, agreement double"
+    found = items.mapInArrow(run, kind) if types else items.select("item_id", *(F.lit(None).cast(t).alias(c) for c, t in (("label", "string"), ("confidence", "double"), ("agreement", "double"))))
     if not sources:
         return found, None
-    rows = model.reliability(items) if model.sources else []
+    rows = model.reliability(items.where(F.size("voters") > 0)) if model.sources else []
     return found, spark.createDataFrame(rows, "source string, votes double, reliability double, copies string")
