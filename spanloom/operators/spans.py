@@ -8,10 +8,11 @@ bins of its record, so a record with very many spans is spread over tasks.
 from __future__ import annotations
 
 from bisect import bisect_right
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import groupby
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -71,47 +72,107 @@ def agreeing(left: DataFrame, other: DataFrame, least: float = 0.5, of: str = "s
     return hits.where(enough).select("record_id", *(F.col(f"l_{c}").alias(c) for c in KEY[1:])).distinct()
 
 
+def _islands(spans: DataFrame, by: list[str], start: Column, end: Column) -> DataFrame:
+    """``island`` of each row: rows of a group that a chain of overlaps joins, so that no choice reaches beyond it."""
+    w = Window.partitionBy(*by).orderBy(start, end)
+    ends = F.max(end).over(w.rowsBetween(Window.unboundedPreceding, -1))
+    return spans.withColumn("island", F.sum(F.when(start < ends, 0).otherwise(1)).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+
+
+def _in_turn(rows: DataFrame, by: list[str], rank: str, read: list[str], choose: Callable[[], Callable[..., bool]]) -> DataFrame:
+    """Rows that are chosen when those of each group (``by``) come in order of ``rank``, one after the other as sorted partitions stream by.
+
+    ``choose()`` begins a group and gives a function of the columns ``read``; it keeps what it needs of the rows before.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last: tuple | None = None
+        take = choose()
+        for batch in batches:
+            keys_, values = (list(zip(*(batch.column(c).to_pylist() for c in cs))) for cs in (by, read))
+            mask = []
+            for key, value in zip(keys_, values):
+                if key != last:
+                    last, take = key, choose()
+                mask.append(take(*value))
+            yield batch.filter(pa.array(mask, pa.bool_()))
+
+    kind = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
+    return rows.repartition(*by).sortWithinPartitions(*by, rank).mapInArrow(run, kind)
+
+
+def _apart() -> Callable[[int, int], bool]:
+    """Takes spans that meet none it took before."""
+    starts: list[int] = []
+    ends: list[int] = []
+
+    def take(a: int, b: int) -> bool:
+        i = bisect_right(starts, a)
+        if (i and ends[i - 1] > a) or (i < len(starts) and starts[i] < b):
+            return False
+        starts.insert(i, a)
+        ends.insert(i, b)
+        return True
+
+    return take
+
+
+def _unused() -> Callable[[int, int, int, int], bool]:
+    """Takes pairs of spans neither of which it took before."""
+    left: set[tuple[int, int]] = set()
+    right: set[tuple[int, int]] = set()
+
+    def take(a: int, b: int, c: int, d: int) -> bool:
+        if (a, b) in left or (c, d) in right:
+            return False
+        left.add((a, b))
+        right.add((c, d))
+        return True
+
+    return take
+
+
 def greedy(spans: DataFrame, by: list[str], order: list[Column]) -> DataFrame:
     """Spans kept when each is taken in ``order`` unless it meets one already taken in its group.
 
-    A group is first cut into islands that no span crosses, and the distinct spans of an island are
-    folded in order on the JVM; a record's islands hold no more spans than its text has places.
+    A group is first cut into islands that no span crosses; the distinct spans of an island stream by in order and meet the taken ones by bisection.
     Repeated spans count once, with their first place.
     """
-    group = [F.col(c) for c in by]
     s = spans.where(F.col("start") < F.col("end")).withColumn("rank_key", F.struct(*order))
     s = s.groupBy(*by, "start", "end").agg(F.min(F.struct("rank_key", F.struct(*(c for c in s.columns if c not in (*by, "start", "end", "rank_key"))).alias("row"))).alias("x"))
-    w = Window.partitionBy(*group).orderBy("start", "end")
-    ends = F.max("end").over(w.rowsBetween(Window.unboundedPreceding, -1))
-    s = s.withColumn("island", F.sum(F.when(F.col("start") < ends, 0).otherwise(1)).over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    folded = s.groupBy(*by, "island").agg(F.array_sort(F.collect_list(F.struct(F.col("x.rank_key").alias("k"), "start", "end", F.col("x.row").alias("row")))).alias("all"))
-    kind = folded.schema["all"].dataType.simpleString()
-    meets = lambda acc, x: F.exists(acc, lambda y: (y["start"] < x["end"]) & (x["start"] < y["end"]))
-    taken = F.aggregate("all", F.array().cast(kind), lambda acc, x: F.when(meets(acc, x), acc).otherwise(F.array_append(acc, x)))
-    return folded.select(*by, F.explode(taken).alias("s")).select(*by, "s.start", "s.end", "s.row.*")
+    s = _islands(s, by, F.col("start"), F.col("end"))
+    ranked = s.withColumn("rank", F.row_number().over(Window.partitionBy(*by, "island").orderBy("x.rank_key", "start", "end"))).select(*by, "island", "rank", "start", "end", "x.row.*")
+    return _in_turn(ranked, [*by, "island"], "rank", ["start", "end"], _apart).drop("island", "rank")
 
 
 def weighted_schedule(spans: DataFrame, by: list[str], weight: str) -> DataFrame:
-    """Of each group the spans without overlap whose weights sum to the most; fewest, then earliest, on ties.
+    """Of each group the spans without overlap whose weights sum to the most; of equal sums the fewest spans, then those that end earlier.
 
     Weighted interval scheduling within islands that no span crosses, in one pass of sorted
-    batches per island. Null or negative weights are never taken.
+    batches per island, with a pointer per span. Null or negative weights are never taken.
     """
-    w = Window.partitionBy(*by).orderBy("start", "end")
-    ends = F.max("end").over(w.rowsBetween(Window.unboundedPreceding, -1))
     s = spans.select(*by, "start", "end", weight).where((F.col("start") < F.col("end")) & (F.col(weight) > 0))
     s = s.groupBy(*by, "start", "end").agg(F.max(weight).cast("double").alias(weight))
-    s = s.withColumn("island", F.sum(F.when(F.col("start") < ends, 0).otherwise(1)).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    s = _islands(s, by, F.col("start"), F.col("end"))
 
     def solve(rows: list[tuple]) -> Iterator[tuple]:
         rows.sort(key=lambda r: (r[-3], r[-4]))
         finish = [r[-3] for r in rows]
-        best: list[tuple[float, int, tuple[int, ...]]] = [(0.0, 0, ())]
+        best = [(0.0, 0)]  # sum and less the spans of the first i rows
+        before: list[int] = []
         for i, r in enumerate(rows):
-            before = best[bisect_right(finish, r[-4], 0, i)]
-            taken = (before[0] + r[-2], before[1] - 1, (*before[2], i))
-            best.append(max(taken, best[-1], key=lambda t: (round(t[0], 9), t[1], tuple(-k for k in t[2]))))
-        return (rows[i] for i in best[-1][2])
+            before.append(bisect_right(finish, r[-4], 0, i))
+            x = best[before[i]]
+            taken = (x[0] + r[-2], x[1] - 1)
+            best.append(taken if (round(taken[0], 9), taken[1]) > (round(best[-1][0], 9), best[-1][1]) else best[-1])
+        i, out = len(rows), []
+        while i:
+            if best[i] == best[i - 1]:
+                i -= 1
+            else:
+                out.append(rows[i - 1])
+                i = before[i - 1]
+        return reversed(out)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         # islands one after the other, as the sorted rows of a partition come
@@ -135,7 +196,7 @@ def align(truth: DataFrame, found: DataFrame) -> DataFrame:
 
     Pairs are taken greedily per record and type: exact ones, then by overlap over the longer
     span, then by overlap, then the later spans. Columns ``t_start, t_end, f_start, f_end``;
-    those of the missing side are null.
+    those of the missing side are null. Pairs stream by in order, island by island.
     """
     pairs = overlapping(truth, found, same_type=True).select(
         "record_id", F.col("l_type").alias("type"), F.col("l_start").alias("t_start"), F.col("l_end").alias("t_end"), F.col("r_start").alias("f_start"), F.col("r_end").alias("f_end")
@@ -143,21 +204,12 @@ def align(truth: DataFrame, found: DataFrame) -> DataFrame:
     shared = overlap(F.col("t_start"), F.col("t_end"), F.col("f_start"), F.col("f_end"))
     longer = F.greatest(F.col("t_end") - F.col("t_start"), F.col("f_end") - F.col("f_start"))
     exact = (F.col("t_start") == F.col("f_start")) & (F.col("t_end") == F.col("f_end"))
-    pairs = pairs.withColumn("rank_key", F.struct((~exact).alias("e"), (-(shared / longer)).alias("r"), (-shared).alias("o"), (-F.col("t_start")).alias("ts"), (-F.col("t_end")).alias("te"), (-F.col("f_start")).alias("fs"), (-F.col("f_end")).alias("fe")))
-    # pairs of spans far apart don't touch one another's choice: fold island by island
-    w = Window.partitionBy("record_id", "type").orderBy(F.least("t_start", "f_start"), F.greatest("t_end", "f_end"))
-    ends = F.max(F.greatest("t_end", "f_end")).over(w.rowsBetween(Window.unboundedPreceding, -1))
-    new = F.when(F.least("t_start", "f_start") < ends, 0).otherwise(1)
-    pairs = pairs.withColumn("island", F.sum(new).over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    folded = pairs.groupBy("record_id", "type", "island").agg(F.array_sort(F.collect_list(F.struct("rank_key", "t_start", "t_end", "f_start", "f_end"))).alias("all"))
-    kind = folded.schema["all"].dataType.simpleString()
-
-    def used(acc: Column, x: Column) -> Column:
-        same = lambda y, s: (y[f"{s}_start"] == x[f"{s}_start"]) & (y[f"{s}_end"] == x[f"{s}_end"])
-        return F.exists(acc, lambda y: same(y, "t") | same(y, "f"))
-
-    taken = F.aggregate("all", F.array().cast(kind), lambda acc, x: F.when(used(acc, x), acc).otherwise(F.array_append(acc, x)))
-    chosen = folded.select("record_id", "type", F.explode(taken).alias("p")).select("record_id", "type", "p.t_start", "p.t_end", "p.f_start", "p.f_end")
+    order = [~exact, -(shared / longer), -shared, -F.col("t_start"), -F.col("t_end"), -F.col("f_start"), -F.col("f_end")]
+    # pairs of spans far apart don't touch one another's choice
+    by = ["record_id", "type"]
+    pairs = _islands(pairs, by, F.least("t_start", "f_start"), F.greatest("t_end", "f_end"))
+    ranked = pairs.withColumn("rank", F.row_number().over(Window.partitionBy(*by, "island").orderBy(*order)))
+    chosen = _in_turn(ranked, [*by, "island"], "rank", ["t_start", "t_end", "f_start", "f_end"], _unused).drop("island", "rank")
     t = keys(truth).select("record_id", "type", F.col("start").alias("t_start"), F.col("end").alias("t_end"))
     f = keys(found).select("record_id", "type", F.col("start").alias("f_start"), F.col("end").alias("f_end"))
     left = t.join(chosen, ["record_id", "type", "t_start", "t_end"], "left")

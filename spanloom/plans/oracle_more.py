@@ -152,6 +152,11 @@ ORACLE = {
       b AS (SELECT mention, last(code ORDER BY length(name), CASE tty WHEN 'IN' THEN 4 WHEN 'PIN' THEN 3 WHEN 'MIN' THEN 2 WHEN 'BN' THEN 1 ELSE 0 END, name, code, tty) AS code FROM g JOIN n ON run = name WHERE code IS NOT NULL AND tty IS NOT NULL GROUP BY mention),
       p AS (SELECT mention, ' ' || regexp_replace(mention, '[^\p{{L}}\p{{N}}]+', ' ', 'g') || ' ' AS x, regexp_matches(mention, '\d\s*(mcg|mg|ml|g)([^\p{{L}}\p{{N}}_]|$)') AS dose FROM m)
       SELECT mention, CASE WHEN dose AND regexp_matches(x, ' iv | (tiem|inject)|tinh mach| po | uong|oral') THEN NULL ELSE code END AS code, CASE WHEN code IS NOT NULL AND NOT (dose AND regexp_matches(x, ' iv | (tiem|inject)|tinh mach| po | uong|oral')) THEN 'name' END AS stage FROM p LEFT JOIN b USING (mention)""",
+    "span_choice_counts": rf"""WITH {S}, j AS (SELECT span_id, substr(d.text, 1, start) AS b, substr(d.text, start + 1, "end" - start) AS x, substr(d.text, "end" + 1) AS a FROM (SELECT span_id, record_id, start, "end" FROM s WHERE record_id IS NOT NULL AND start < "end") JOIN documents d ON doc_id = record_id WHERE start >= 0 AND "end" <= length(d.text)),
+      l AS (SELECT span_id, x, regexp_replace(b, '(?s)^.*\n', '') AS b, regexp_extract(a, '^[^\n]*') AS a FROM j),
+      c AS (SELECT span_id, x, CASE WHEN regexp_matches(x, '^[^ \t]') THEN regexp_replace(b, '[^ \t]+$', '') ELSE b END AS b, CASE WHEN regexp_matches(x, '[^ \t]$') THEN regexp_replace(a, '^[^ \t]+', '') ELSE a END AS a FROM l),
+      n AS (SELECT span_id, len(list_filter(regexp_split_to_array(x, '[ \t]+'), lambda w: w <> '')) AS o, least(4, len(list_filter(regexp_split_to_array(b, '[ \t]+'), lambda w: w <> ''))) AS p, least(4, len(list_filter(regexp_split_to_array(a, '[ \t]+'), lambda w: w <> ''))) AS q FROM c),
+      f AS (SELECT span_id, list_filter(flatten(list_transform(range(p + 1), lambda i: list_transform(range(q + 1), lambda k: i + k + o))), lambda v: v <= 10) AS v FROM n WHERE o > 0) SELECT span_id, len(v) AS choices, coalesce(list_max(v), 0) AS widest FROM f""",
     "weak_links": f"""WITH {S}, k AS (SELECT record_id, start, "end", text, type, unnest(list_distinct(candidates)) AS code FROM s WHERE type IN ('CHẨN_ĐOÁN', 'THUỐC') AND text IS NOT NULL AND len(candidates) > 0),
       c AS (SELECT record_id, start, "end", text, type, string_agg(DISTINCT code, '|' ORDER BY code) AS codes FROM k WHERE code IN (SELECT identifier FROM nodes) GROUP BY ALL),
       j AS (SELECT c.type, {PHRASE.replace('text', 'c.text')} AS mention, codes, record_id, start, c.text, substr(d.text, greatest(start - 40, 0) + 1, least(start, 40)) || '⟦' || c.text || '⟧' || substr(d.text, "end" + 1, 40) AS context
