@@ -221,27 +221,17 @@ def block_ratio(a: Column | str, b: Column | str) -> Column:
 
 
 def whole_words(text: Column | str, start: Column | str, end: Column | str) -> Column:
-    """Struct of the span widened to the words that it cuts and without signs and blanks at its edges; null if nothing is left."""
-    kind = StructType([StructField("start", IntegerType()), StructField("end", IntegerType())])
+    """Struct of the span widened to the words that it cuts and without signs and blanks at its edges; null if nothing is left or it isn't in the text.
 
-    @F.pandas_udf(kind)
-    def run(texts: pd.Series, starts: pd.Series, ends: pd.Series) -> pd.DataFrame:
-        out = []
-        for t, a, b in zip(texts, starts, ends):
-            if t is None or pd.isna(a) or pd.isna(b) or not 0 <= a < b <= len(t):
-                out.append((None, None))
-                continue
-            a, b = int(a), int(b)
-            while a and t[a - 1].isalnum() and t[a].isalnum():
-                a -= 1
-            while b < len(t) and t[b].isalnum() and t[b - 1].isalnum():
-                b += 1
-            while a < b and not t[a].isalnum():
-                a += 1
-            while a < b and not t[b - 1].isalnum():
-                b -= 1
-            out.append((a, b) if a < b else (None, None))
-        return pd.DataFrame(out, columns=["start", "end"]).astype("Int32")
-
-    s = run(_col(text), _col(start), _col(end))
-    return F.when(s["start"].isNotNull(), s)
+    Only what stands next to the span on its line is looked at.
+    """
+    t, a, b = _col(text), _col(start), _col(end)
+    letter = r"[\p{L}\p{N}]"
+    seed = F.substring(t, a + 1, b - a)
+    left, right = F.substring_index(F.substring(t, F.lit(1), a), LINE_END, -1), F.substring_index(F.substring(t, b + 1, F.length(t)), LINE_END, 1)
+    more = F.when(seed.rlike(f"^{letter}"), F.length(F.regexp_extract(left, f"{letter}*$", 0))).otherwise(0)
+    after = F.when(seed.rlike(f"{letter}$"), F.length(F.regexp_extract(right, f"^{letter}*", 0))).otherwise(0)
+    first = F.when(more > 0, a - more).otherwise(a + F.length(F.regexp_extract(seed, rf"^[^\p{{L}}\p{{N}}]*", 0)))
+    last = F.when(after > 0, b + after).otherwise(b - F.length(F.regexp_extract(seed, rf"[^\p{{L}}\p{{N}}]*$", 0)))
+    inside = (a >= 0) & (a < b) & (b <= F.length(t)) & (first < last)
+    return F.when(inside, F.struct(first.cast("int").alias("start"), last.cast("int").alias("end")))

@@ -276,10 +276,13 @@ def calibrate_per_fold(scored: DataFrame, thresholds: list[float], precision: fl
     """Per ``fold`` the threshold with the best F1 that keeps the precision (higher on ties); folds without one are out."""
     from spanloom.operators.evaluate import ratio
 
-    d = scored.dropna(subset=["fold", "score", "positive"])
-    t = d.select("fold", "score", "positive", F.explode(F.array(*map(F.lit, thresholds))).alias("threshold"))
-    taken, right = F.count_if(F.col("score") >= F.col("threshold")), F.count_if((F.col("score") >= F.col("threshold")) & F.col("positive"))
-    g = t.groupBy("fold", "threshold").agg(taken.alias("taken"), right.alias("right"), F.count_if("positive").alias("positives"))
+    # counted per fold and step of the grid first, so that thresholds are summed over a few rows
+    edges = sorted(thresholds)
+    step = sum((F.when(F.col("score") >= t, 1).otherwise(0) for t in edges), F.lit(0))
+    n = scored.dropna(subset=["fold", "score", "positive"]).groupBy("fold", step.alias("step")).agg(F.count("*").alias("n"), F.count_if("positive").alias("good"))
+    t = n.select("*", F.explode(F.array(*(F.struct(F.lit(i + 1).alias("k"), F.lit(t).alias("threshold")) for i, t in enumerate(edges)))).alias("x"))
+    over = lambda c: F.sum(F.when(F.col("step") >= F.col("x.k"), F.col(c)).otherwise(0))
+    g = t.groupBy("fold", F.col("x.threshold").alias("threshold")).agg(over("n").alias("taken"), over("good").alias("right"), F.sum("good").alias("positives"))
     p, f1 = ratio(F.col("right"), F.col("taken"), 0.0), ratio(2 * F.col("right"), F.col("taken") + F.col("positives"), 0.0)
     g = g.withColumn("precision", F.round(p, 6)).withColumn("f1", F.round(f1, 6)).where(F.col("precision") >= precision)
     best = g.groupBy("fold").agg(F.max(F.struct("f1", "precision", "threshold")).alias("x"))

@@ -8,12 +8,13 @@ from __future__ import annotations
 
 import io
 import json
+import re
 import zipfile
 from collections.abc import Iterator
 from pathlib import Path
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 ENTITY = (
@@ -91,17 +92,76 @@ def subset(df: DataFrame, ids: DataFrame) -> DataFrame:
 
 
 def read_concepts(spark: SparkSession, path: str) -> DataFrame:
-    """Pipe-separated concept names (18 fields and a last bar): identifier, language, type, code, name."""
+    """Pipe-separated concept names (18 fields and a last bar), the English ones: identifier, vocabulary, tty, code, name, and ``line``, which grows with the file."""
     raw = spark.read.option("sep", "|").option("quote", "").schema(", ".join(f"_c{i} string" for i in range(19))).csv(path)
-    return raw.where("_c1 = 'ENG'").select(F.col("_c0").alias("identifier"), F.col("_c11").alias("vocabulary"), F.col("_c12").alias("tty"), F.col("_c13").alias("code"), F.col("_c14").alias("name"))
+    return raw.where("_c1 = 'ENG'").select(F.col("_c0").alias("identifier"), F.col("_c11").alias("vocabulary"), F.col("_c12").alias("tty"), F.col("_c13").alias("code"), F.col("_c14").alias("name"), F.monotonically_increasing_id().alias("line"))
 
 
 def concept_aliases(concepts: DataFrame, order: list[str]) -> DataFrame:
-    """Per folded name the concept of the most preferred type; the least identifier on ties."""
+    """Per folded name the concept of the most preferred type, of those the first line (the least identifier where lines aren't known); types not listed come last."""
+    tie = ["line", "identifier"] if "line" in concepts.columns else ["identifier"]
+    return concepts.where("name is not null").groupBy(_norm().alias("norm")).agg(F.min(F.struct(_rank(order).alias("rank"), *tie, "tty", "name")).alias("x")).select("norm", "x.identifier", "x.tty", "x.name")
+
+
+def _norm() -> Column:
+    return F.lower(F.trim(F.regexp_replace("name", r"\s+", " ")))
+
+
+def _rank(order: list[str]) -> Column:
     rank = F.coalesce(F.array_position(F.array(*map(F.lit, order)), F.col("tty")), F.lit(0))
-    rank = F.when(rank == 0, F.lit(len(order) + 1)).otherwise(rank)
-    norm = F.lower(F.trim(F.regexp_replace("name", r"\s+", " ")))
-    return concepts.where("name is not null").groupBy(norm.alias("norm")).agg(F.min(F.struct(rank.alias("rank"), "identifier", "tty", "name")).alias("x")).select("norm", "x.identifier", "x.tty", "x.name")
+    return F.when(rank == 0, F.lit(len(order) + 1)).otherwise(rank)
+
+
+def concept_products(concepts: DataFrame, types: list[str]) -> DataFrame:
+    """``product, tty, name, norm`` of each identifier and type among ``types``: the last line."""
+    own = concepts.where(F.col("tty").isin(*types) & F.col("name").isNotNull()).withColumn("norm", _norm())
+    return own.groupBy(F.col("identifier").alias("product"), "tty").agg(F.max(F.struct("line", "name", "norm")).alias("x")).select("product", "tty", "x.name", "x.norm")
+
+
+def read_relations(spark: SparkSession, path: str) -> DataFrame:
+    """Pipe-separated relations (16 fields and a last bar): first and second concept, relation, vocabulary, line."""
+    raw = spark.read.option("sep", "|").option("quote", "").schema(", ".join(f"_c{i} string" for i in range(17))).csv(path)
+    return raw.select(F.col("_c0").alias("first"), F.col("_c4").alias("second"), F.col("_c7").alias("relation"), F.col("_c10").alias("vocabulary"), F.monotonically_increasing_id().alias("line"))
+
+
+def brand_generics(relations: DataFrame, concepts: DataFrame, order: list[str]) -> DataFrame:
+    """``code, generic``: the folded name of each brand's generic, by the last relation that names one.
+
+    Of ``tradename_of`` the second concept is the brand, of ``has_tradename`` the first, as the table has them. A generic goes by its name of the most preferred
+    type in ``order``, the first line of those; brands of a generic without one are out.
+    """
+    named = F.col("relation") == "tradename_of"
+    r = relations.where(F.col("relation").isin("tradename_of", "has_tradename"))
+    r = r.select(F.when(named, F.col("second")).otherwise(F.col("first")).alias("code"), F.when(named, F.col("first")).otherwise(F.col("second")).alias("identifier"), "line").dropna()
+    last = r.groupBy("code").agg(F.max_by("identifier", "line").alias("identifier"))
+    own = concepts.where(F.col("tty").isin(*order) & F.col("name").isNotNull()).withColumn("norm", _norm())
+    name = own.groupBy("identifier").agg(F.min(F.struct(_rank(order).alias("rank"), "line", "norm")).alias("x")).select("identifier", F.col("x.norm").alias("generic"))
+    return last.join(name, "identifier").select("code", "generic")
+
+
+def ingredient_index(concepts: DataFrame, ingredients: list[str]) -> DataFrame:
+    """``ingredient, strength, code``: concepts whose name holds a listed ingredient (anywhere in it), by each strength the name states; empty if it states none.
+
+    The list goes to each worker; names meet it in one reading each.
+    """
+    listed = tuple(sorted({i.casefold() for i in ingredients if i}))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        import ahocorasick
+
+        auto = ahocorasick.Automaton()
+        for i in listed:
+            auto.add_word(i, i)
+        auto.make_automaton()
+        for pdf in batches:
+            rows = []
+            for code, name in zip(pdf["identifier"], pdf["name"]):
+                term = name.casefold()
+                found = {i for _, i in auto.iter(term)} if listed else set()
+                rows += [(i, s, code) for i in sorted(found) for s in sorted(set(re.findall(r"\d+(?:\.\d+)?\s*(?:mg|g|mcg|ml)", term))) or [""]]
+            yield pd.DataFrame(rows, columns=["ingredient", "strength", "code"])
+
+    return concepts.where("identifier is not null and name is not null").select("identifier", "name").mapInPandas(run, "ingredient string, strength string, code string").distinct()
 
 
 def strengths(concepts: DataFrame) -> DataFrame:

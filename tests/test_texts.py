@@ -250,3 +250,29 @@ def test_sql_agrees_on_the_smallest_tables(spark):
         names = [c[0] for c in cur.description]
         want = sorted((tuple(form(dict(zip(names, r))[c]) for c in cols) for r in cur.fetchall()), key=str)
         assert sorted((tuple(form(r[c]) for c in cols) for r in df.collect()), key=str) == want, name
+
+
+def test_drug_catalog(spark, tmp_path):
+    row = lambda i, tty, name, lang="ENG": "|".join([i, lang, *[""] * 9, "RXNORM", tty, "c" + i, name, "", "", ""]) + "|"
+    rel = lambda a, b, r: "|".join([a, "", "", "", b, "", "", r, "", "", "RXNORM", *[""] * 5]) + "|"
+    (tmp_path / "c").write_text("\n".join([
+        row("2", "BN", "Lasix"), row("1", "PIN", "Furosemide  sodium"), row("1", "IN", "furosemide"), row("3", "IN", "LASIX"), row("4", "BN", "lasix"), row("9", "SCD", "furosemide 20 MG Tablet"),
+        row("9", "SCD", "Furosemide 40 mg tablet"), row("9", "SBD", "x 1 mg / 5 ml"), row("5", "IN", "fr", "FRE"),
+    ]), encoding="utf-8")
+    (tmp_path / "r").write_text("\n".join([rel("3", "2", "tradename_of"), rel("1", "2", "tradename_of"), rel("4", "1", "has_tradename"), rel("7", "8", "tradename_of"), rel("1", "6", "isa")]), encoding="utf-8")
+    c, order = files.read_concepts(spark, str(tmp_path / "c")), ["IN", "PIN", "MIN", "BN"]
+    aliases = {r.norm: (r.identifier, r.tty) for r in files.concept_aliases(c.where(c.tty.isin(*order)), order).collect()}
+    assert aliases == {"lasix": ("3", "IN"), "furosemide sodium": ("1", "PIN"), "furosemide": ("1", "IN")}
+    assert {(r["product"], r.tty): r.norm for r in files.concept_products(c, ["SCD", "SBD"]).collect()} == {("9", "SCD"): "furosemide 40 mg tablet", ("9", "SBD"): "x 1 mg / 5 ml"}
+    assert {r.code: r.generic for r in files.brand_generics(files.read_relations(spark, str(tmp_path / "r")), c, order).collect()} == {"2": "furosemide", "4": "furosemide"}
+    index = {(r.ingredient, r.strength, r.code) for r in files.ingredient_index(c, ["Furosemide", "x"]).collect()}
+    assert index >= {("furosemide", "", "1"), ("furosemide", "20 mg", "9"), ("x", "5 ml", "9")} and ("furosemide", "", "9") not in index
+
+
+def test_codes_take_the_last_line_and_reviews_gate(spark, tmp_path):
+    (tmp_path / "k").write_text("\n".join(";".join([*"1234567", "K21.9", t]) for t in ("zeta", "alpha")), encoding="utf-8")
+    assert [(r.code, r.title) for r in files.read_codes(spark, str(tmp_path / "k")).collect()] == [("K21.9", "alpha")]
+    (tmp_path / "j").write_text('{"record_id": 1, "ok": true}\n{"record_id": 1, "ok": true}\n{"record_id": 2}\n', encoding="utf-8")
+    rows, stops = files.read_jsonl(spark, str(tmp_path / "j"), "record_id bigint, ok boolean", "ok")
+    assert rows.count() == 3 and {(r.record_id, r.n, r.reason) for r in stops.collect()} == {(1, 2, "repeated id"), (2, 1, "not reviewed")}
+    assert files.subset(rows, rows.where("record_id = 2").unionByName(rows.where("record_id = 2"))).count() == 1
