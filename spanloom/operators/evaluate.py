@@ -194,6 +194,17 @@ def recall_at(ranked: DataFrame, by: str, ks: tuple[int, ...] = (1, 5, 10)) -> D
     return sets
 
 
+def seen_recall(ranked: DataFrame, seen: DataFrame, ks: tuple[int, ...] = (1, 5, 10)) -> DataFrame:
+    """Per fold, and within it by whether one of a query's gold ids is ``seen`` (``id``): queries and the share with a gold id among the first k.
+
+    ``ranked``: ``query_id, fold, top, gold``. ``status`` is seen, unseen or all; a status without queries has no row.
+    """
+    known = ranked.select("query_id", F.explode("gold").alias("id")).join(seen.select("id").dropna().distinct(), "id", "left_semi").select("query_id").distinct().withColumn("known", F.lit(True))
+    j = ranked.join(known, "query_id", "left").withColumn("status", F.explode(F.array(F.lit("all"), F.when(F.col("known"), "seen").otherwise("unseen"))))
+    hit = lambda k: F.arrays_overlap(F.slice("top", 1, k), "gold").cast("int")
+    return j.groupBy("fold", "status").agg(F.count("*").alias("queries"), *(F.round(F.avg(hit(k)), 6).alias(f"recall_{k}") for k in ks))
+
+
 def prefix_utility(ranked: DataFrame, most: int = 10) -> DataFrame:
     """Mean Jaccard of the first k with the gold set, for each k; ``best`` marks the greatest, the smaller k on ties."""
     k = ranked.select(F.explode(F.sequence(F.lit(1), F.lit(most))).alias("k"), "top", "gold")

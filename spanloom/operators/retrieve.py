@@ -78,16 +78,51 @@ def tfidf(grams: DataFrame, idf: DataFrame) -> DataFrame:
     return x.join(norm, "id").select("id", "gram", (F.col("w") / F.col("norm")).alias("w"))
 
 
-def lexical_top(queries: DataFrame, base: DataFrame, k: int, low: int = 2, high: int = 5) -> DataFrame:
-    """The k base texts of greatest cosine over character grams weighted by TF-IDF of the base. Both: ``id, text``."""
+def lexical_top(queries: DataFrame, base: DataFrame, k: int, low: int = 2, high: int = 5, block: int = 2048) -> DataFrame:
+    """The k base texts of greatest cosine over character grams weighted by TF-IDF of the base. Both: ``id, text``.
+
+    Blocks of both sides meet once, and only the best k of a block leave it: a gram that very many texts have makes no pairs to be shuffled.
+    Texts without a common gram aren't near.
+    """
     b = char_grams(base, "text", low, high)
     n = base.dropna(subset=["id", "text"]).select("id").distinct().agg(F.count("*").alias("n"))
     df = b.groupBy("gram").agg(F.count("*").alias("df"))
     idf = df.crossJoin(F.broadcast(n)).select("gram", (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1).alias("idf"))
-    q = tfidf(char_grams(queries, "text", low, high), idf).select(F.col("id").alias("query_id"), "gram", F.col("w").alias("wq"))
-    b = tfidf(b, idf).select(F.col("id").alias("base_id"), "gram", F.col("w").alias("wb"))
-    s = q.join(b, "gram").groupBy("query_id", "base_id").agg(F.round(F.sum(F.col("wq") * F.col("wb")), 6).alias("score"))
-    return _best(s, k, ["query_id"]).select("query_id", "base_id", "score", "rank")
+    packed = lambda x: tfidf(x, idf).groupBy("id").agg(F.collect_list(F.struct("gram", "w")).alias("g")).select("id", F.transform("g", lambda v: F.xxhash64(v["gram"])).alias("grams"), F.transform("g", lambda v: v["w"]).alias("weights"))
+    sides = [packed(char_grams(queries, "text", low, high)), packed(b)]
+    # how many blocks a side has follows from its count
+    nq, nb = (max(1, -(-x.select("id").dropna().distinct().count() // block)) for x in (queries, base))
+    q = sides[0].withColumn("i", F.pmod(F.xxhash64("id"), F.lit(nq))).withColumn("j", F.explode(F.sequence(F.lit(0), F.lit(nb - 1)))).withColumn("side", F.lit("q"))
+    d = sides[1].withColumn("j", F.pmod(F.xxhash64("id"), F.lit(nb))).withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(nq - 1)))).withColumn("side", F.lit("b")).select(*q.columns)
+    kind = sides[1].schema["id"].dataType.simpleString()
+
+    def flat(rows: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        size = rows["grams"].map(len).to_numpy()
+        gram, weight = np.concatenate(rows["grams"].to_numpy()), np.concatenate(rows["weights"].to_numpy())
+        at = np.repeat(np.arange(len(rows)), size)
+        order = np.argsort(gram, kind="stable")
+        return gram[order], at[order], weight[order]
+
+    def search(pdf: pd.DataFrame) -> pd.DataFrame:
+        x, y = pdf[pdf["side"] == "q"], pdf[pdf["side"] == "b"].sort_values("id")
+        names = {"query_id": x["id"].to_numpy(), "base_id": y["id"].to_numpy()}
+        out = {"query_id": names["query_id"][:0], "base_id": names["base_id"][:0], "score": np.zeros(0)}
+        if len(x) and len(y):
+            score = np.zeros((len(x), len(y)))
+            (g, r, v), (h, s, w) = flat(x), flat(y)
+            both = np.intersect1d(g, h)
+            ends = [np.searchsorted(z, both, side) for z in (g, h) for side in ("left", "right")]
+            for a, b_, c, e in zip(*(z.tolist() for z in ends)):
+                score[r[a:b_, None], s[None, c:e]] += v[a:b_, None] * w[None, c:e]
+            score = np.round(score, 6)
+            top = np.argsort(-score, axis=1, kind="stable")[:, :k]
+            best = np.take_along_axis(score, top, 1).ravel()
+            near = best > 0
+            out = {"query_id": np.repeat(names["query_id"], top.shape[1])[near], "base_id": names["base_id"][top].ravel()[near], "score": best[near]}
+        return pd.DataFrame(out)
+
+    met = q.unionByName(d).groupBy("i", "j").applyInPandas(search, f"query_id {kind}, base_id {kind}, score double")
+    return _best(met, k, ["query_id"]).select("query_id", "base_id", "score", "rank")
 
 
 def prototypes(vectors: DataFrame, by: str) -> DataFrame:

@@ -271,7 +271,7 @@ def interval_methods(spark, strata: tuple[int, ...] = (3, 5, 7), multipliers: tu
                     means, errors, _ = _strata_summary(again)
                     bounds["percentile"].append(np.quantile(means, 0.025, axis=1, method="lower"))
                     apart = means - mean[:, None]
-                    stat = np.where(errors > 0, apart / np.where(errors > 0, errors, 1), np.sign(apart) * np.inf)
+                    stat = np.where(errors > 0, apart / np.where(errors > 0, errors, 1), np.where(apart > 0, np.inf, -np.inf))
                     high = np.quantile(np.where(apart == 0, 0.0, stat), 0.975, axis=1, method="lower")
                     bounds["bootstrap_t"].append(np.where(np.isfinite(high), mean - high * error, -np.inf))
                 for method, b in bounds.items():

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from spanloom.operators import scope
-from spanloom.plans.oracle import BC, EDGES, GROUPS, JACCARD, KEYS, LINES, MEETS, OCC, PASSAGE_ENTITIES, PHRASE, S, _hash
+from spanloom.plans.oracle import BC, EDGES, GROUPS, JACCARD, KEYS, LINES, MEETS, OCC, PASSAGE_ENTITIES, PHRASE, RECALL, S, _hash
 
 EMPTY = "CAST([] AS VARCHAR[])"
 
@@ -157,6 +157,9 @@ ORACLE = {
       c AS (SELECT span_id, x, CASE WHEN regexp_matches(x, '^[^ \t]') THEN regexp_replace(b, '[^ \t]+$', '') ELSE b END AS b, CASE WHEN regexp_matches(x, '[^ \t]$') THEN regexp_replace(a, '^[^ \t]+', '') ELSE a END AS a FROM l),
       n AS (SELECT span_id, len(list_filter(regexp_split_to_array(x, '[ \t]+'), lambda w: w <> '')) AS o, least(4, len(list_filter(regexp_split_to_array(b, '[ \t]+'), lambda w: w <> ''))) AS p, least(4, len(list_filter(regexp_split_to_array(a, '[ \t]+'), lambda w: w <> ''))) AS q FROM c),
       f AS (SELECT span_id, list_filter(flatten(list_transform(range(p + 1), lambda i: list_transform(range(q + 1), lambda k: i + k + o))), lambda v: v <= 10) AS v FROM n WHERE o > 0) SELECT span_id, len(v) AS choices, coalesce(list_max(v), 0) AS widest FROM f""",
+    "seen_recall": f"""WITH {RECALL}, f AS (SELECT *, CASE query_id % 3 WHEN 0 THEN 'test' WHEN 1 THEN 'dev' ELSE 'train' END AS fold, label IN (SELECT label FROM embeddings WHERE vec_id % 3 = 2 AND label <= 6) AS known FROM rt),
+      s AS (SELECT *, 'all' AS status FROM f UNION ALL SELECT *, CASE WHEN known THEN 'seen' ELSE 'unseen' END FROM f)
+      SELECT fold, status, count(*) AS queries, round(avg(list_contains(top[1:1], label)::INT), 6) AS recall_1, round(avg(list_contains(top[1:5], label)::INT), 6) AS recall_5, round(avg(list_contains(top[1:10], label)::INT), 6) AS recall_10 FROM s GROUP BY fold, status""",
     "weak_links": f"""WITH {S}, k AS (SELECT record_id, start, "end", text, type, unnest(list_distinct(candidates)) AS code FROM s WHERE type IN ('CHẨN_ĐOÁN', 'THUỐC') AND text IS NOT NULL AND len(candidates) > 0),
       c AS (SELECT record_id, start, "end", text, type, string_agg(DISTINCT code, '|' ORDER BY code) AS codes FROM k WHERE code IN (SELECT identifier FROM nodes) GROUP BY ALL),
       j AS (SELECT c.type, {PHRASE.replace('text', 'c.text')} AS mention, codes, record_id, start, c.text, substr(d.text, greatest(start - 40, 0) + 1, least(start, 40)) || '⟦' || c.text || '⟧' || substr(d.text, "end" + 1, 40) AS context

@@ -643,6 +643,15 @@ def recall_at_k(spark, d):
     return r.select(F.coalesce(F.col("label").cast("string"), F.lit("all")).alias("label"), "queries", "recall_1", "recall_5", "recall_10")
 
 
+@query
+def seen_recall(spark, d):
+    """Queries of each fold, apart by whether a vector of the train fold has their label; of labels over 6 train vectors are left out."""
+    fold = lambda c: F.when(F.col(c) % 3 == 0, "test").when(F.col(c) % 3 == 1, "dev").otherwise("train")
+    e = table(spark, d, "embeddings", "vec_id", "label")
+    seen = e.where((fold("vec_id") == "train") & (F.col("label") <= 6)).select(F.col("label").alias("id"))
+    return evaluate.seen_recall(_recall_table(spark, d).withColumn("fold", fold("query_id")), seen)
+
+
 @query
 def prefix_k_utility(spark, d):
     return evaluate.prefix_utility(_recall_table(spark, d))

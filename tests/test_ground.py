@@ -119,3 +119,17 @@ def test_interval_methods(spark):
     assert len(rate) == 12 and all(rate[n, 0.0, m] < 0.09 for n in (15, 30) for m in ("welch_t", "bootstrap_t")) and rate[30, 1.0, "welch_t"] > 0.9
     answers = {(r.kind, r.of): r.answer for r in sample.power_summary(got).where("method = 'welch_t'").collect()}
     assert answers["smallest_n", "1.0"] == 15 and answers["detectable", "30"] == 1.0
+
+
+def test_name_search_in_blocks(spark):
+    from spanloom.operators import evaluate
+
+    r = random.Random(9)
+    names = [(f"n{i}", " ".join("".join(r.choice("abc") for _ in range(r.randrange(1, 6))) for _ in range(r.randrange(1, 4)))) for i in range(60)] + [("z", None), (None, "abc"), ("e", "")]
+    df = spark.createDataFrame(names, "id string, text string")
+    rows = lambda n: {tuple(x) for x in retrieve.lexical_top(df, df, 4, 2, 3, n).collect()}
+    assert rows(7) == rows(5000) and len(rows(7)) > 200
+    assert retrieve.lexical_top(df.limit(0), df, 3).count() == 0 == retrieve.lexical_top(df, df.limit(0), 3).count()
+    ranked = spark.createDataFrame([(1, "dev", ["a", "b"], ["b"]), (2, "dev", ["x"], ["c"]), (3, "test", None, ["a"])], "query_id int, fold string, top array<string>, gold array<string>")
+    seen = spark.createDataFrame([("b",), (None,)], "id string")
+    assert {(x.fold, x.status): (x.queries, x.recall_1, x.recall_5) for x in evaluate.seen_recall(ranked, seen).collect() if x.fold == "dev"} == {("dev", "all"): (2, 0.0, 0.5), ("dev", "seen"): (1, 0.0, 1.0), ("dev", "unseen"): (1, 0.0, 0.0)}
