@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from spanloom.functions.text import context, hash_int, phrase_key
+from spanloom.operators.spans import overlapping
 
 KEY = ["record_id", "start", "end", "type", "text"]
 
@@ -33,7 +34,14 @@ def evidence(proposals: DataFrame, baseline: DataFrame, by: list[str] = KEY) ->
     out = per.groupBy(*by).agg(rows.alias("x"), F.count("*").alias("source_count"), F.avg("confidence").alias("mean_confidence"), F.max("confidence").alias("max_confidence"))
     base = baseline.dropna(subset=by).select(*by).distinct().withColumn("baseline_exact", F.lit(True))
     out = out.join(base, by, "left").withColumn("baseline_exact", F.coalesce("baseline_exact", F.lit(False)))
-    return out.select(*by, F.col("x.source").alias("sources"), F.col("x.confidence").alias("confidences"), "source_count", F.round("mean_confidence", 6).alias("mean_confidence"), "max_confidence", "baseline_exact")
+    return out.select(*by, F.col("x.source").alias("sources"), F.col("x.confidence").alias("confidences"), "source_count", F.round(F.col("mean_confidence") + 1e-9, 6).alias("mean_confidence"), "max_confidence", "baseline_exact")  # + 1e-9: ties go up, in whatever order the sum came
+
+
+def overlap_flag(evidence_: DataFrame, baseline: DataFrame) -> DataFrame:
+    """``evidence`` with ``baseline_overlap_same_type``: whether a span of the baseline of the same type meets the key's."""
+    hits = overlapping(evidence_, baseline, same_type=True).select("record_id", *(F.col(f"l_{c}").alias(c) for c in ("start", "end", "type"))).distinct()
+    j = evidence_.join(hits.withColumn("baseline_overlap_same_type", F.lit(True)), ["record_id", "start", "end", "type"], "left")
+    return j.withColumn("baseline_overlap_same_type", F.coalesce("baseline_overlap_same_type", F.lit(False)))
 
 
 def ensemble(proposals: DataFrame, baseline: DataFrame, least: int, floor: float = 0.0, by: list[str] = KEY) -> DataFrame:

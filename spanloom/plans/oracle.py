@@ -21,7 +21,7 @@ P = f"""p AS (SELECT record_id, start, "end", type, text, {SRC} AS source, max(c
 K = 'record_id, start, "end", type, text'
 FULL = 'record_id IS NOT NULL AND start IS NOT NULL AND "end" IS NOT NULL AND type IS NOT NULL AND text IS NOT NULL'
 EVID = f"""base AS (SELECT DISTINCT {K} FROM b WHERE {FULL}),
-e AS (SELECT {K}, string_agg(source, '+' ORDER BY source) AS sources, count(*) AS source_count, round(avg(confidence), 6) AS mean_confidence, max(confidence) AS max_confidence FROM p GROUP BY {K}),
+e AS (SELECT {K}, string_agg(source, '+' ORDER BY source) AS sources, count(*) AS source_count, round(avg(confidence) + 1e-9, 6) AS mean_confidence, max(confidence) AS max_confidence FROM p GROUP BY {K}),
 ev AS (SELECT e.*, base.record_id IS NOT NULL AS baseline_exact FROM e LEFT JOIN base USING ({K}))"""
 
 
@@ -121,7 +121,7 @@ ORACLE = {
     "section_items": f"""WITH {LINES}, {HEADS}, x AS (SELECT * FROM li WHERE NOT EXISTS (SELECT 1 FROM h WHERE h.doc_id = li.doc_id AND h.off = li.start))
       SELECT x.doc_id, heading, start, "end" FROM x ASOF JOIN h ON x.doc_id = h.doc_id AND x.start >= h.off WHERE heading IN ('TIỀN SỬ', 'HISTORY')""",
     "gram_dictionary": f"""WITH {LINES}, w AS (SELECT doc_id, line, regexp_split_to_array(lower(body), ' +') AS w FROM li), a AS (SELECT *, unnest(range(len(w))) AS off FROM w),
-      n AS (SELECT *, unnest(range(1, least(5, len(w) - off) + 1)) AS n FROM a), y AS (SELECT doc_id, regexp_replace(array_to_string(w[off + 1 : off + n], ' '), '^[,;:.(]+|[,;:.)]+$', '', 'g') AS phrase FROM n),
+      n AS (SELECT *, unnest(range(1, least((SELECT max(len(regexp_split_to_array(canonical, ' +'))) FROM nodes), len(w) - off) + 1)) AS n FROM a), y AS (SELECT doc_id, regexp_replace(array_to_string(w[off + 1 : off + n], ' '), '^[,;:.(]+|[,;:.)]+$', '', 'g') AS phrase FROM n),
       p AS (SELECT DISTINCT lower(canonical) AS phrase FROM nodes WHERE canonical IS NOT NULL) SELECT phrase, count(DISTINCT doc_id) AS records, count(*) AS uses FROM y JOIN p USING (phrase) GROUP BY phrase""",
     "gaps_islands": f"WITH {LINES}, {RUNS} SELECT doc_id, tag, min(line) AS first, max(line) AS last, count(*) AS n FROM ru GROUP BY doc_id, run, tag",
     "span_validate": f"WITH {S}, {VIOLATIONS} SELECT span_id, array_to_string(v, ',') AS violations FROM vi",
@@ -141,7 +141,7 @@ ORACLE = {
       SELECT unnest(['text', 'type', 'start', 'end', 'confidence', 'source']) AS "column", unnest([count(*) FILTER (c1), count(*) FILTER (c2), count(*) FILTER (c3), count(*) FILTER (c4), count(*) FILTER (c5), count(*) FILTER (c6)]) AS changed FROM j""",
     "reject_reasons": f"""WITH {S}, t AS (SELECT *, coalesce(trim(text), '') AS t FROM s) SELECT type, CASE WHEN t = '' THEN 'empty' WHEN start IS NULL OR "end" IS NULL THEN 'no_position' WHEN len(regexp_split_to_array(t, ' +')) > 14 THEN 'long'
       WHEN regexp_matches(t, '^[0-9.,/% ]+$') THEN 'number_only' WHEN confidence < 0.5 THEN 'low_confidence' ELSE 'kept' END AS reason, count(*) AS n FROM t GROUP BY 1, 2""",
-    "evidence_aggregate": f"WITH {BC}, {P}, {EVID} SELECT {K}, sources, source_count, mean_confidence, max_confidence, baseline_exact FROM ev",
+    "evidence_aggregate": f"WITH {BC}, {P}, {EVID} SELECT {K}, sources, source_count, mean_confidence, max_confidence, baseline_exact, EXISTS (SELECT 1 FROM b WHERE b.record_id = ev.record_id AND b.type = ev.type AND b.start < ev.\"end\" AND ev.start < b.\"end\" AND b.start < b.\"end\" AND ev.start < ev.\"end\") AS baseline_overlap_same_type FROM ev",
     "vote_ensemble": f"WITH {BC}, {P}, {EVID} SELECT {K}, sources AS support, mean_confidence FROM ev WHERE source_count >= 3 AND NOT baseline_exact AND coalesce(mean_confidence, 0) >= 0.6",
     "support_combinations": f"WITH {P}, x AS (SELECT {K}, string_agg(source, '+' ORDER BY source) AS support FROM p GROUP BY {K}) SELECT support, count(*) AS n FROM x GROUP BY support",
     "pair_eligibility": f"""WITH {P}, x AS (SELECT {K}, string_agg(source, '+' ORDER BY source) AS sources, min(confidence) AS least, count(*) AS n, count(confidence) AS k FROM p GROUP BY {K})

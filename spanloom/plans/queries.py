@@ -238,7 +238,8 @@ def reject_reasons(spark, d):
 
 @query
 def evidence_aggregate(spark, d):
-    e = votes.evidence(table(spark, d, "proposals"), _snapshots(spark, d)[0])
+    base = _snapshots(spark, d)[0]
+    e = votes.overlap_flag(votes.evidence(table(spark, d, "proposals"), base), base)
     return e.withColumn("sources", F.concat_ws("+", "sources")).drop("confidences")
 
 
