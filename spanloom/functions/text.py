@@ -6,6 +6,7 @@ Unless said otherwise a null argument gives null, and an empty text an empty res
 from __future__ import annotations
 
 import unicodedata
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import Column
@@ -40,15 +41,19 @@ def normalize_key(c: Column | str) -> Column:
     return run(_col(c))
 
 
+@lru_cache(maxsize=100_000)
+def _fold_character(c: str) -> str:
+    return "".join(x for x in unicodedata.normalize("NFD", unicodedata.normalize("NFKC", c).casefold()) if unicodedata.category(x) != "Mn")
+
+
 def fold_with_map(s: str) -> tuple[str, list[int]]:
     """Folded characters, and for each the place in the source that it came from."""
-    out, places = [], []
-    for i, c in enumerate(s):
-        for x in unicodedata.normalize("NFD", unicodedata.normalize("NFKC", c).casefold()):
-            if unicodedata.category(x) != "Mn":
-                out.append(x)
-                places.append(i)
-    return "".join(out), places
+    if s.isascii():
+        return s.lower(), list(range(len(s)))
+    out = list(map(_fold_character, s))
+    if all(len(x) == 1 for x in out):
+        return "".join(out), list(range(len(s)))
+    return "".join(out), [i for i, x in enumerate(out) for _ in x]
 
 
 def normalize_with_map(c: Column | str) -> Column:

@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from spanloom.functions.text import fold_key, fold_with_map
 from spanloom.operators.generate import _automaton, _blank, _decimal, read_value
 from spanloom.operators.scope import assertions
+from spanloom.session import written
 
 SYMPTOM, DIAGNOSIS, DRUG, TEST, RESULT, PATIENT = "TRIỆU_CHỨNG", "CHẨN_ĐOÁN", "THUỐC", "TÊN_XÉT_NGHIỆM", "KẾT_QUẢ_XÉT_NGHIỆM", "THÔNG_TIN_BỆNH_NHÂN"
 #: Of entities that begin and end together, which comes first; and the confidence of each generator.
@@ -205,7 +206,7 @@ def infer(docs: DataFrame, lexicon: Lexicon, codes: DataFrame, sections: bool =
 
     ``codes``: ``type, phrase`` (folded), ``code``; a phrase of a coded type that is not listed takes the codes of none. Candidates are sorted; other types have none.
     """
-    found = detect(docs, lexicon, sections).distinct()
+    found = written(detect(docs, lexicon, sections).distinct())  # read twice below, and much smaller than the texts
     said = assertions(found, docs, (SYMPTOM, DIAGNOSIS, DRUG), (DIAGNOSIS, DRUG), SYMPTOM)
     listed = codes.dropna().groupBy("type", "phrase").agg(F.sort_array(F.collect_set("code")).alias("candidates"))
     j = found.join(said, ["record_id", "start", "end", "type"]).join(listed, ["type", "phrase"], "left")
