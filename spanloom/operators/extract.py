@@ -33,7 +33,8 @@ DOSES = ("mcg", "mg", "g", "ml", "l", "ui", "iu", "%")
 GIVES = "thuoc dung uong tiem truyen dieu tri chi dinh toa medication".split()
 #: Code points in which a test's value is looked for, words of a heading, of a section's item, and of a catalog name that needs a context.
 VALUE_REACH, HEADING_WORDS, ITEM_WORDS, SHORT = 90, 10, 6, 5
-_AGE = re.compile(r"(?<!\w)\d{1,3}\s*tuổi(?!\w)|(?<!\w)(?:bệnh nhân\s+)?(?:nam|nữ)(?!\w)|(?<!\w)(?:mã|id)\s*(?:bệnh nhân|bệnh án)\s*[:#]?\s*[a-z0-9-]+(?!\w)", re.IGNORECASE)
+# Words of a patient's age, sex and number.
+YEARS, SEXES, NUMBERS, WHOSE = "tuổi", ("nam", "nữ"), ("mã", "id"), ("bệnh nhân", "bệnh án")
 
 
 @dataclass
@@ -87,6 +88,33 @@ def first_value(s: str) -> tuple[int, int] | None:
     return None
 
 
+def patient(text: str) -> list[tuple[int, int]]:
+    """Places of an age ("60 tuổi"), of a sex with the patient before it if named, and of a labelled number of a patient or a record."""
+    low = text.lower() if len(text.lower()) == len(text) else text
+    words = [m.span() for m in re.finditer(r"\w+", low)]
+    said = [low[a:b] for a, b in words]
+    joined = lambda i: i + 1 < len(words) and low[words[i][1] : words[i + 1][0]].isspace()
+    pair = lambda i: f"{said[i]} {said[i + 1]}" if i >= 0 and joined(i) else ""
+    out = []
+    for i, (word, (a, b)) in enumerate(zip(said, words)):
+        if word.isdecimal() and len(word) <= 3 and i + 1 < len(words) and said[i + 1] == YEARS and not low[b : words[i + 1][0]].strip():
+            out.append((a, words[i + 1][1]))
+        elif word.endswith(YEARS) and word[: -len(YEARS)].isdecimal() and len(word) <= 3 + len(YEARS):
+            out.append((a, b))
+        elif word in SEXES:
+            named = i >= 2 and pair(i - 2) == WHOSE[0] and joined(i - 1)
+            out.append((words[i - 2][0] if named else a, b))
+        elif word in NUMBERS and joined(i) and pair(i + 1) in WHOSE and i + 3 < len(words):
+            end = words[i + 2][1]
+            value = words[i + 3][0]
+            if low[end:value].strip() in ("", ":", "#"):
+                stop = words[i + 3][1]
+                while stop < len(low) and (low[stop] == "-" or low[stop].isalnum()):
+                    stop += 1
+                out.append((a, stop))
+    return out
+
+
 class Detector:
     """Finds the entities of one text after the other: start, end, type, confidence, source, folded phrase."""
 
@@ -134,7 +162,7 @@ class Detector:
                 add(a, b, kind, source, phrase)
                 if kind == TEST and (v := first_value(plain[b : b + VALUE_REACH])):
                     add(b + v[0], b + v[1], RESULT, "result", phrase)
-        out += [(m.start(), m.end(), PATIENT, CONFIDENCE["patient"], "patient", "") for m in _AGE.finditer(text)]
+        out += [(a, b, PATIENT, CONFIDENCE["patient"], "patient", "") for a, b in patient(text)]
         if self.sections:
             out += self._items(text)
         return resolve(out)

@@ -242,7 +242,7 @@ def package(members: DataFrame, path: str) -> int:
     with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z:
         for r in members.select("name", "body").orderBy("name").toLocalIterator():
             info = zipfile.ZipInfo(r.name, (2020, 1, 1, 0, 0, 0))
-            info.external_attr = 0o644 << 16
+            info.external_attr = 0o644 << 16  # a fixed value, as the time above
             info.compress_type = zipfile.ZIP_DEFLATED
             z.writestr(info, r.body)
             n += 1

@@ -22,6 +22,13 @@ def test_generators(text, want):
     assert found(text) == want
 
 
+@pytest.mark.parametrize("text, want", [
+    ("BN Nữ, 7tuổi; 60  tuổi", ["Nữ", "7tuổi", "60  tuổi"]), ("mã bệnh án: AB-12-x. id bệnh nhân 7", ["mã bệnh án: AB-12-x", "id bệnh nhân 7"]), ("bệnh nhân, nam", ["nam"]), ("1234 tuổi; năm; mã bệnh nhân", []), ("", []), ("nam", ["nam"]),
+])
+def test_patient(text, want):
+    assert [text[a:b] for a, b in extract.patient(text)] == want
+
+
 def test_sections():
     t = "Triệu chứng:\n- mờ mắt (P)\n- bệnh nhân khai khác\n- một hai ba bốn năm sáu bảy\nKhám\n- phù chân\nChẩn đoán:\n• viêm gan: nặng\n2. Khác\n- u"
     assert found(t, sections=True) == [("mờ mắt", SYMPTOM), ("viêm gan", DIAGNOSIS)]
