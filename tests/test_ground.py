@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from spanloom.functions import text as T
 from spanloom.operators import generate, ground, quality, retrieve, sample, votes
+from spanloom.plans.queries import QUERIES
 
 SPAN = "record_id bigint, start int, `end` int, type string, confidence double, text string"
 
@@ -133,3 +134,25 @@ def test_name_search_in_blocks(spark):
     ranked = spark.createDataFrame([(1, "dev", ["a", "b"], ["b"]), (2, "dev", ["x"], ["c"]), (3, "test", None, ["a"])], "query_id int, fold string, top array<string>, gold array<string>")
     seen = spark.createDataFrame([("b",), (None,)], "id string")
     assert {(x.fold, x.status): (x.queries, x.recall_1, x.recall_5) for x in evaluate.seen_recall(ranked, seen).collect() if x.fold == "dev"} == {("dev", "all"): (2, 0.0, 0.5), ("dev", "seen"): (1, 0.0, 1.0), ("dev", "unseen"): (1, 0.0, 0.0)}
+
+
+def odd_records(spark):
+    r = random.Random(5)
+    text = lambda: "".join(r.choice(["ho ", "đau\n", "sốt. ", "x", "𝒳 ", "\t", "\f", "nôn;", " "]) for _ in range(r.randrange(25)))
+    texts = [(i, text()) for i in range(12)] + [(3, text()), (3, text()), (5, None), (None, "ho"), (6, "")]
+    rows = [(r.randrange(14), a, a + r.randrange(1, 12), r.choice(["A", "B", "Đ"]), r.choice("pqr")) for a in (r.randrange(-3, 70) for _ in range(400))]
+    e = spark.createDataFrame([*rows, *rows[:9], (0, 5, 5, "A", "p"), (0, 1, None, "A", "p"), (None, 1, 2, "A", "p"), (1, 1, 2, None, "p"), (1, 0, 2, "A", None)], "record_id bigint, start int, `end` int, type string, source string")
+    return spark.createDataFrame(texts, "doc_id bigint, text string"), e
+
+
+def test_labels_of_texts_are_those_of_their_words(spark):
+    d, e = odd_records(spark)
+    want = sorted(map(tuple, ground.bio_labels(ground.word_tokens(d), e).collect()))
+    assert sorted(map(tuple, ground.text_labels(d, e).collect())) == want and len(want) > 60
+    assert ground.text_labels(d.limit(0), e).count() == 0
+
+
+def test_words_do_not_travel_for_labels(spark):
+    for name in ("bio_labels",):
+        plan = QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+        assert "Generate" not in plan and plan.count("Join") == 1
