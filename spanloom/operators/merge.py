@@ -6,9 +6,15 @@ no part. Every choice has a full tie-break, so results don't depend on partition
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from spanloom.functions import places as P
 from spanloom.functions.text import route as route_of
 from spanloom.functions.text import strength as strength_of
 from spanloom.operators.spans import KEY, disjoint, keys, overlapping
@@ -257,19 +263,51 @@ def span_choices(spans: DataFrame, docs: DataFrame, reach: int = 4, most: int =
 
     Word bounds come from the line's own words; a seed whose bounds cut words is held by the words it cuts.
     """
-    s = spans.dropna(subset=["span_id", "record_id", "start", "end"]).where("start < `end`").select("span_id", "record_id", "start", "end")
-    j = s.join(docs.where("text is not null").select(F.col("doc_id").alias("record_id"), "text"), "record_id").where("start >= 0 and `end` <= length(text)")
-    before = F.element_at(F.split(F.substring("text", F.lit(1), F.col("start")), "\n", -1), -1)
-    after = F.element_at(F.split(F.substring("text", F.col("end") + 1, F.length("text")), "\n", -1), 1)
-    seed = F.substring("text", F.col("start") + 1, F.col("end") - F.col("start"))
-    # what is left of a word that the seed cuts belongs to the seed
-    before = F.when(seed.rlike("^[^ \t]"), F.regexp_replace(before, "[^ \t]+$", "")).otherwise(before)
-    after = F.when(seed.rlike("[^ \t]$"), F.regexp_replace(after, "^[^ \t]+", "")).otherwise(after)
-    count = lambda c: F.size(F.filter(F.split(c, "[ \t]+"), lambda w: w != ""))
-    left, own, right = F.least(count(before), F.lit(reach)), count(seed), F.least(count(after), F.lit(reach))
-    pairs = F.flatten(F.transform(F.sequence(F.lit(0), left), lambda a: F.transform(F.sequence(F.lit(0), right), lambda b: a + b + own)))
-    fits = F.filter(pairs, lambda n: n <= most)
-    return j.where(own > 0).select("span_id", F.size(fits).cast("bigint").alias("choices"), F.coalesce(F.array_max(fits), F.lit(0)).cast("bigint").alias("widest"))
+    s = spans.dropna(subset=["span_id", "record_id", "start", "end"]).where("start < `end` and start >= 0").select("span_id", "record_id", "start", "end")
+    # the places of a record come to its text, not the text to each of its spans
+    places = s.groupBy("record_id").agg(F.collect_set(F.struct("start", "end")).alias("places"))
+    j = docs.where("text is not null").select(F.col("doc_id").alias("record_id"), "text").join(places, "record_id")
+    # choices by what is left of ``most`` after the seed, words before and words after
+    table = np.array([[[sum(a + b <= left for a in range(p + 1) for b in range(q + 1)) for q in range(reach + 1)] for p in range(reach + 1)] for left in range(2 * reach + 1)])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            sizes = pc.utf8_length(whole.column("text")).to_numpy(zero_copy_only=False) + pc.list_value_length(whole.column("places")).to_numpy(zero_copy_only=False)
+            for x, y in P.slices(sizes):
+                batch = whole.slice(x, y - x)
+                points, base, size = P.flat(batch.column("text").to_pylist())
+                n = pc.list_value_length(batch.column("places")).to_numpy(zero_copy_only=False)
+                found = batch.column("places").flatten()
+                at = np.repeat(np.arange(len(n)), n)
+                start, end = (found.field(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("start", "end"))
+                inside = np.flatnonzero(end <= size[at])
+                at, start, end = at[inside], start[inside], end[inside]
+                a, b = base[at] + start, base[at] + end
+                blank = np.append(P.among(points, " \t"), True)
+                fresh = ~blank
+                fresh[1:] &= blank[:-1]
+                begun = np.concatenate(([0], np.cumsum(fresh)))
+
+                def count(p: np.ndarray, q: np.ndarray) -> np.ndarray:
+                    """Words in [p, q), parts of words at its ends too."""
+                    return begun[q] - begun[p] + ((q > p) & ~blank[p] & ~fresh[p])
+
+                ends = np.concatenate(([-1], np.flatnonzero(points == 10), [len(points)]))
+                line = ends[np.searchsorted(ends, a) - 1] + 1
+                stop = ends[np.searchsorted(ends, b)]
+                # what is left of a word that the seed cuts belongs to the seed
+                left = np.minimum(count(line, a) - ((a > line) & ~blank[a - 1] & ~blank[a]), reach)
+                right = np.minimum(count(b, stop) - ((b < stop) & ~blank[b] & ~blank[b - 1]), reach)
+                own = count(a, b)
+                rest = most - own
+                choices = np.where(rest < 0, 0, table[np.clip(rest, 0, 2 * reach), left, right])
+                widest = np.where(rest < 0, 0, np.minimum(own + left + right, most))
+                keep = own > 0
+                kept = [pa.array(v[keep]) for v in (at, start.astype(np.int32), end.astype(np.int32), choices, widest)]
+                yield pa.RecordBatch.from_arrays([batch.column("record_id").take(kept[0]), *kept[1:]], names=["record_id", "start", "end", "choices", "widest"])
+
+    counted = j.mapInArrow(run, f"record_id {j.schema['record_id'].dataType.simpleString()}, start int, `end` int, choices bigint, widest bigint")
+    return s.join(counted, ["record_id", "start", "end"]).select("span_id", "choices", "widest")
 
 
 def calibrate_per_fold(scored: DataFrame, thresholds: list[float], precision: float) -> DataFrame:

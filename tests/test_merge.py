@@ -1,6 +1,7 @@
 """Merging, lookups, streams and small models on cases with known results."""
 
 import random
+import re
 
 from pyspark.sql import functions as F
 
@@ -71,6 +72,27 @@ def test_choices_stay_on_the_line(spark):
     assert rows(merge.span_choices(s, d, 1), "span_id", "choices", "widest") == [(1, 4, 3), (2, 2, 2)]
 
 
+def test_span_choices_take_no_text_to_a_span(spark):
+    r = random.Random(7)
+    text = "".join(r.choice(["ho ", "đau", "\n", "sốt\t", "x", "𝒳", " ", "a\n"]) for _ in range(20_000))
+    at = [(a, a + r.randrange(1, 25)) for a in (r.randrange(len(text) - 30) for _ in range(100))]
+    # one record of very many spans: the text is read once, not once a span
+    rows = [(i, 7, *at[i % 100]) for i in range(50_000)]
+    s = spark.createDataFrame([*rows, (-1, 7, -1, 3), (-2, 7, 5, 10**6)], "span_id bigint, record_id bigint, start int, `end` int")
+    d = spark.createDataFrame([(7, text)], "doc_id bigint, text string")
+    df = merge.span_choices(s, d)
+    got = {r.span_id: (r.choices, r.widest) for r in df.collect()}
+    for i, (a, b) in enumerate(at):
+        before, after, seed = text[:a].rpartition("\n")[2], text[b:].partition("\n")[0], text[a:b]
+        parts = lambda x: [w for w in re.split("[ \t]+", x) if w]
+        left = min(4, len(parts(before if seed[0] in " \t" else re.sub("[^ \t]+$", "", before))))
+        right = min(4, len(parts(after if seed[-1] in " \t" else re.sub("^[^ \t]+", "", after))))
+        fits = [p + q + len(parts(seed)) for p in range(left + 1) for q in range(right + 1) if p + q + len(parts(seed)) <= 10]
+        assert {got.get(k) for k in range(i, 50_000, 100)} == ({(len(fits), max(fits, default=0))} if parts(seed) else {None})
+    assert not {-1, -2} & set(got)
+    assert "mapinarrow" in df._jdf.queryExecution().optimizedPlan().toString().lower()
+
+
 def test_ridge_and_logistic(spark):
     r = random.Random(1)
     x = [(r.gauss(0, 1), r.gauss(0, 1)) for _ in range(400)]
